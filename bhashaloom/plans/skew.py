@@ -13,17 +13,13 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 1000
 
 
-def hot_keys(counted: DataFrame, keys: Sequence[str], count: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of the sum of ``count``; at most 1 / share rows.
+def hot_keys(counted: DataFrame, keys: Sequence[str], count: str, total: int, share: float = HOT_SHARE) -> DataFrame:
+    """Keys that hold more than ``share`` of ``total`` rows; at most 1 / share rows.
 
-    counted: one row per key. An empty table gives an empty result.
+    counted: one row per key, whose counts sum up to ``total`` at most. Tables of under 1000 / share
+    rows have no hot keys worth splitting beyond those of 1000 rows.
     """
-    total = counted.agg(F.sum(count).alias("__total"))
-    return (
-        counted.crossJoin(F.broadcast(total))  # one row: a scalar, not a pairing
-        .where(F.col(count) > F.greatest(F.col("__total") * F.lit(share), F.lit(1000)))
-        .select(*keys)
-    )
+    return counted.where(F.col(count) > F.lit(max(int(total * share), 1000))).select(*keys)
 
 
 def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], hot: DataFrame, spread_by: Sequence[str], salts: int = 64) -> DataFrame:
