@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bhashaloom.llm import budget_queries
+from bhashaloom.llm import budget_queries, duplicate_queries
 
 
 def _modules() -> list:
-    return [budget_queries]
+    return [duplicate_queries, budget_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
