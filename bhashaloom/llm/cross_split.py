@@ -17,13 +17,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bhashaloom.functions.unicode import words
-from bhashaloom.plans.skew import hot_keys, salted_join
+from bhashaloom.plans.skew import checkpointed, hot_keys, salted_join
 
 #: Words of the evaluation split whose counts order the words; others count as rarer than any of them.
 VOCABULARY = 50_000
@@ -32,6 +32,7 @@ BITMAP_BITS = 1 << 26
 #: Lines of up to so many words are found by pairs, longer ones by single rare words, so that keys grow with length only.
 PAIR_WORDS = 48
 _M = (1 << 64) - 1
+_OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}\s]+")
 
 
 def shared_in_order(a: list, b: list) -> int:
@@ -90,14 +91,36 @@ def _positions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits % np.uint64(BITMAP_BITS), (bits >> np.uint64(32)) % np.uint64(BITMAP_BITS)
 
 
+def normalized(line: str) -> str:
+    """The words of a line between single spaces: white-space pieces reduced to letters and digits, lower case."""
+    return " ".join(_OTHER.sub("", line.lower()).split())
+
+
+def _hash(lang: str, norm: str) -> tuple[int, int]:
+    both = xxhash.xxh3_128_intdigest(f"{lang}\x1f{norm}")
+    return _signed(both & _M), _signed(both >> 64)
+
+
 def _with_keys(lines: DataFrame, counts, share: float, bitmap=None) -> DataFrame:
-    """Lines (id, lang, norm) with their keys; with a bitmap, only keys in it, and only lines that have some."""
-    out = T.StructType([*lines.schema.fields, T.StructField("keys", T.ArrayType(T.LongType(), False))])
+    """Lines (id, lang, line) with words as (id, h1, h2, lang, norm, keys).
+
+    With a bitmap, keys are left out that it lacks, and the text of lines without any other.
+    """
+    id_type = lines.schema["id"].dataType
+    out = T.StructType([
+        T.StructField("id", id_type), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("lang", T.StringType()),
+        T.StructField("norm", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType(), False)),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, bits = Keys(counts.value, share), None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            keys = [made.of(a, t.split(" ")) for a, t in zip(batch.column("lang").to_pylist(), batch.column("norm").to_pylist())]
+            norms = [normalized(x) for x in batch.column("line").to_pylist()]
+            take = [i for i, x in enumerate(norms) if x]
+            norms, langs = [norms[i] for i in take], batch.column("lang").take(pa.array(take, pa.int64()))
+            named = langs.to_pylist()
+            hashes = [_hash(a, t) for a, t in zip(named, norms)]
+            keys = [made.of(a, t.split(" ")) for a, t in zip(named, norms)]
             if bits is not None:
                 flat = np.fromiter((k for ks in keys for k in ks), np.int64)
                 hit = np.ones(len(flat), bool)
@@ -108,9 +131,9 @@ def _with_keys(lines: DataFrame, counts, share: float, bitmap=None) -> DataFrame
                     kept.append([k for k, h in zip(ks, hits[at : at + len(ks)]) if h])
                     at += len(ks)
                 keys = kept
-            take = [i for i, ks in enumerate(keys) if ks]
-            rows = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([keys[i] for i in take], pa.list_(pa.int64()))], out.names)
+            texts = [t if ks else None for t, ks in zip(norms, keys)]
+            columns = [pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), langs, pa.array(texts, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(take, pa.int64())), *columns], out.names)
 
     return lines.mapInArrow(run, out)
 
@@ -128,38 +151,45 @@ def _bitmap(keys: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def overlap_classes(frame: DataFrame, key: str, text: str, is_test: str, lang: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Overlaps between distinct texts, and the members of the texts.
+def _distinct(lines: DataFrame) -> DataFrame:
+    """Each text with keys once; copies within a task are merged before the shuffle, the others by it."""
+    return lines.where(F.size("keys") > 0).groupBy("h1", "h2", "lang", "norm", "keys").agg(F.count(F.lit(1)).alias("n")).drop("n")
+
+
+def overlap_classes(frame: DataFrame, key: str, text: str, is_test: str, lang: str, share: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Overlaps between distinct texts, and the lines of both splits.
 
     First (t1, t2, r1, r2, shared, longer): hashes of a test and a train text that overlap, with the number of
-    words shared in order and of the longer text. Second (id, test, h1, h2): every line that can overlap.
-    Lines with null is_test, id, text or lang, or without words, are in neither.
+    words shared in order and of the longer text. Then (id, h1, h2) of the test and of the train lines.
+    Lines with null is_test, id, text or lang, or without words, are in none.
     """
     spark = frame.sparkSession
-    rows = frame.where(F.col(is_test).isNotNull() & F.col(key).isNotNull() & F.col(lang).isNotNull()).select(
-        F.col(key).alias("id"), F.col(is_test).alias("test"), F.col(lang).alias("lang"), F.array_join(words(F.col(text)), " ").alias("norm")
-    )
-    rows = rows.where("norm != ''")
-    members = rows.select("id", "test", F.xxhash64(F.lit(1), "lang", "norm").alias("h1"), F.xxhash64(F.lit(2), "lang", "norm").alias("h2"))
-    tests = rows.where("test").select("lang", "norm").distinct()
-    trains = rows.where("NOT test").select("lang", "norm")
-
-    counted = tests.select("lang", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()
+    rows = frame.where(whole).select(F.col(key).alias("id"), F.col(is_test).alias("test"), F.col(lang).alias("lang"), F.col(text).alias("line"))
+    tests, trains = (rows.where(F.col("test") == x).drop("test") for x in (True, False))
+
+    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = Counter((a, w) for a, x in zip(batch.column("lang").to_pylist(), batch.column("line").to_pylist()) for w in set(normalized(x).split(" ")))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[k[0] for k in seen], [k[1] for k in seen], list(seen.values())], (pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+
+    counted = tests.select("lang", "line").mapInArrow(spoken, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "lang", "word").limit(VOCABULARY).collect()  # at most VOCABULARY rows
     counts = spark.sparkContext.broadcast({_signed(xxhash.xxh64_intdigest(f"{r['lang']}\x1f{r['word']}")): r["n"] for r in top})
 
-    tests = _with_keys(tests, counts, share)
+    tests = checkpointed(_with_keys(tests, counts, share))
     bitmap = spark.sparkContext.broadcast(_bitmap(tests.select(F.explode("keys").alias("key"))))
-    # Copies of a line have the same keys: those of one task are merged before the shuffle, the others by it.
-    hits = _with_keys(trains, counts, share, bitmap).groupBy("lang", "norm", "keys").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    one = tests.select("lang", F.col("norm").alias("t"), F.col("keys").alias("tk"), F.explode("keys").alias("key"))
-    two = hits.select("lang", F.col("norm").alias("r"), F.col("keys").alias("rk"), F.explode("keys").alias("key"))
-    # A key that many near copies share is spread over 8 tasks; the evaluation split is the smaller side.
-    two = two.withColumn("salt", F.pmod(F.xxhash64("r"), F.lit(8)).cast("int"))
-    one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    met = one.join(two, ["lang", "key", "salt"]).where(F.array_min(F.array_intersect("tk", "rk")) == F.col("key"))
+    trains = checkpointed(_with_keys(trains, counts, share, bitmap))
+
+    hits = _distinct(trains)
+    one = _distinct(tests).select("lang", F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("norm").alias("t"), F.col("keys").alias("tk"), F.explode("keys").alias("key"))
+    two = hits.select("lang", F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("norm").alias("r"), F.col("keys").alias("rk"), F.explode("keys").alias("key"))
+    held = hits.select("lang", F.explode("keys").alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n"))
+    # A key's share is taken of the training lines, of which each has a key but once.
+    hot = hot_keys(held, ["lang", "key"], "n", trains.count(), share=1 / 5000)
+    met = salted_join(two, one, ["lang", "key"], hot, ["r1"]).where(F.array_min(F.array_intersect("tk", "rk")) == F.col("key"))
     n, m = F.size(F.split("t", " ")), F.size(F.split("r", " "))
-    met = met.where(F.least(n, m) >= F.greatest(n, m) * F.lit(share) - F.lit(1e-9)).select("lang", "t", "r")
+    met = met.where(F.least(n, m) >= F.greatest(n, m) * F.lit(share) - F.lit(1e-9)).select("t1", "t2", "r1", "r2", "t", "r")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,11 +199,10 @@ def overlap_classes(frame: DataFrame, key: str, text: str, is_test: str, lang: s
             good = [i for i, (s, x) in enumerate(zip(shared, longer)) if s >= share * x - 1e-9]
             kept = batch.take(pa.array(good, pa.int64()))
             counts_ = [pa.array([x[i] for i in good], pa.int32()) for x in (shared, longer)]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *counts_], ["lang", "t", "r", "shared", "longer"])
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("t1", "t2", "r1", "r2")), *counts_], ["t1", "t2", "r1", "r2", "shared", "longer"])
 
-    checked = met.mapInArrow(verify, "lang string, t string, r string, shared int, longer int")
-    hashes: list[Column] = [F.xxhash64(F.lit(i), "lang", c).alias(f"{c}{i}") for c in "tr" for i in (1, 2)]
-    return checked.select(*hashes, "shared", "longer"), members
+    checked = met.mapInArrow(verify, "t1 long, t2 long, r1 long, r2 long, shared int, longer int")
+    return checked, tests.select("id", "h1", "h2"), trains.select("id", "h1", "h2")
 
 
 def overlaps(frame: DataFrame, key: str, text: str, is_test: str, lang: str, share: float = 0.8) -> DataFrame:
@@ -183,12 +212,9 @@ def overlaps(frame: DataFrame, key: str, text: str, is_test: str, lang: str, sha
     found once and come out as every pair they are part of; a text with many copies is spread over many tasks.
     An empty table or split gives no rows.
     """
-    pairs, members = overlap_classes(frame, key, text, is_test, lang, share)
-    sizes = members.groupBy("h1", "h2", "test").agg(F.count(F.lit(1)).alias("n"))
-    total = frame.count()
-    out = pairs
-    for side, test in (("t", True), ("r", False)):
-        own = members.where(F.col("test") == test).select(F.col("id").alias(f"{side}_id"), F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"))
-        named = sizes.where(F.col("test") == test).select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), "n")
-        out = salted_join(own, out, [f"{side}1", f"{side}2"], hot_keys(named, [f"{side}1", f"{side}2"], "n", total), [f"{side}_id"])
+    out, tests, trains = overlap_classes(frame, key, text, is_test, lang, share)
+    for side, lines in (("t", tests), ("r", trains)):
+        own = lines.select(F.col("id").alias(f"{side}_id"), F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"))
+        sizes = own.groupBy(f"{side}1", f"{side}2").agg(F.count(F.lit(1)).alias("n"))
+        out = salted_join(own, out, [f"{side}1", f"{side}2"], hot_keys(sizes, [f"{side}1", f"{side}2"], "n", lines.count()), [f"{side}_id"])
     return out.select(F.col("t_id").alias("test_id"), F.col("r_id").alias("train_id"), "shared", "longer")
