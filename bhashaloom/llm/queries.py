@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bhashaloom.llm import budget_queries, duplicate_queries, encoding_queries, language_queries, leak_queries, overlap_queries, sampling_queries
+from bhashaloom.llm import budget_queries, duplicate_queries, encoding_queries, language_queries, leak_queries, overlap_queries, residue_queries, sampling_queries
 
 
 def _modules() -> list:
-    return [sampling_queries, overlap_queries, duplicate_queries, budget_queries, encoding_queries, language_queries, leak_queries]
+    return [sampling_queries, overlap_queries, duplicate_queries, budget_queries, encoding_queries, language_queries, leak_queries, residue_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
