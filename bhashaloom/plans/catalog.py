@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bhashaloom.plans import line_queries, line_sql
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """All queries of the core."""
+    return dict(line_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL by query name."""
+    return dict(line_sql.SQL)
