@@ -62,7 +62,7 @@ def padded(batches: DataFrame, group: list[str], batch: int, seed: int = 42) ->
 
 
 def random_windows(sequences: DataFrame, lang: str, key: str, tokens: str, windows: int, length: int, seed: int = 42) -> DataFrame:
-    """(lang, draw, at, x, y): so many windows of a language's tokens, read as one row, at offsets by digest.
+    """(lang, draw, start, x, y): so many windows of a language's tokens, read as one row, at offsets by digest.
 
     x has ``length`` tokens and y the same shifted by one. A language with no more than ``length`` tokens is left out.
     A window spans two sequences at most, as none is shorter than it; only those are joined.
@@ -72,10 +72,10 @@ def random_windows(sequences: DataFrame, lang: str, key: str, tokens: str, windo
     sizes = numbered.groupBy(lang).agg(F.count(F.lit(1)).alias("n"), F.max(width).cast("bigint").alias("width"))
     usable = sizes.where(F.col("n") * F.col("width") > length)
     draws = usable.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(windows - 1).cast("bigint"))))
-    draws = draws.withColumn("at", F.pmod(integer(seed, F.concat_ws(":", lang, "draw")), F.col("n") * F.col("width") - length))
-    first = draws.withColumn("nth", F.floor(F.col("at") / F.col("width")) + 1)
+    draws = draws.withColumn("start", F.pmod(integer(seed, F.concat_ws(":", lang, "draw")), F.col("n") * F.col("width") - length))
+    first = draws.withColumn("nth", F.floor(F.col("start") / F.col("width")) + 1)
     one = first.join(numbered.select(lang, "nth", F.col(tokens).alias("a")), [lang, "nth"])
     two = numbered.select(lang, (F.col("nth") - 1).alias("nth"), F.col(tokens).alias("b"))
     both = one.join(two, [lang, "nth"], "left").withColumn("all", F.concat("a", F.coalesce("b", F.array().cast("array<int>"))))
-    start = (F.col("at") % F.col("width") + 1).cast("int")
-    return both.select(lang, "draw", "at", F.slice("all", start, length).alias("x"), F.slice("all", start + 1, length).alias("y"))
+    begin = (F.col("start") % F.col("width") + 1).cast("int")
+    return both.select(lang, "draw", "start", F.slice("all", begin, length).alias("x"), F.slice("all", begin + 1, length).alias("y"))
