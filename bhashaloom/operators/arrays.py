@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,33 +22,39 @@ def invalid_count(values: Column) -> Column:
     return F.size(F.filter(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A value by name within an expression, so that it is worked out once for each row and not for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def mean(values: Column) -> Column:
     return total(values) / F.size(values)
 
 
 def deviation(values: Column) -> Column:
     """Sample standard deviation."""
-    centre = mean(values)
-    return F.sqrt(total(F.transform(values, lambda x: (x - centre) * (x - centre))) / (F.size(values) - 1))
+    squares = let(F.struct(values.alias("v"), mean(values).alias("m")), lambda s: total(F.transform(s["v"], lambda x: (x - s["m"]) * (x - s["m"]))))
+    return F.sqrt(squares / (F.size(values) - 1))
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Probabilities; the largest logit is taken off first. Minus infinity gives 0."""
-    largest = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp((x - largest) / temperature))
-    return F.transform(powers, lambda x: x / total(powers))
+    with_largest = F.struct(logits.alias("v"), F.array_max(logits).alias("m"))
+    powers = let(with_largest, lambda s: F.transform(s["v"], lambda x: F.exp((x - s["m"]) / temperature)))
+    return let(powers, lambda p: let(F.struct(p.alias("p"), total(p).alias("t")), lambda s: F.transform(s["p"], lambda x: x / s["t"])))
 
 
 def top_k_mask(logits: Column, k: int) -> Column:
     """Logits below the k-th largest as minus infinity; ties with it stay."""
     bound = F.element_at(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)))
-    return F.transform(logits, lambda x: F.when(x < bound, F.lit(float("-inf"))).otherwise(x))
+    both = F.struct(logits.alias("v"), bound.alias("b"))
+    return let(both, lambda s: F.transform(s["v"], lambda x: F.when(x < s["b"], F.lit(float("-inf"))).otherwise(x)))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """Negative log-probability of the target; null where the target is -1, which means to ignore."""
-    largest = F.array_max(logits)
-    log_sum = F.ln(total(F.transform(logits, lambda x: F.exp(x - largest)))) + largest
+    with_largest = F.struct(logits.alias("v"), F.array_max(logits).alias("m"))
+    log_sum = let(with_largest, lambda s: F.ln(total(F.transform(s["v"], lambda x: F.exp(x - s["m"])))) + s["m"])
     return F.when(target != -1, log_sum - F.element_at(logits, (target + 1).cast("int")))
 
 

@@ -10,10 +10,15 @@ from bhashaloom.functions.unicode import is_blank, pieces
 
 
 def char_frequencies(frame: DataFrame, lang: str, text: str, order: str) -> DataFrame:
-    """(lang, ch, cnt, first_line, first_pos) of each character, the line end of each non-blank line included."""
+    """(lang, ch, cnt, first_line, first_pos) of each character, the line end of each non-blank line included.
+
+    order: a whole number.
+    """
     lines = frame.where(~is_blank(F.col(text))).select(lang, order, F.posexplode(F.concat(characters(F.col(text)), F.array(F.lit("\n")))).alias("pos", "ch"))
-    grouped = lines.groupBy(lang, "ch").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct(order, "pos")).alias("first"))
-    return grouped.select(lang, "ch", "cnt", F.col(f"first.{order}").alias("first_line"), F.col("first.pos").cast("bigint").alias("first_pos"))
+    # One decimal number for line and position: unlike a struct it can be kept in the buffers of a hash aggregation.
+    place = F.col(order).cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
+    grouped = lines.groupBy(lang, "ch").agg(F.count(F.lit(1)).alias("cnt"), F.min(place.cast("decimal(38,0)")).alias("first"))
+    return grouped.select(lang, "ch", "cnt", F.floor(F.col("first") / 10**10).cast("bigint").alias("first_line"), (F.col("first") % 10**10).cast("bigint").alias("first_pos"))
 
 
 def top_characters(frequencies: DataFrame, lang: str, k: int = 20) -> DataFrame:

@@ -11,7 +11,7 @@ from bhashaloom.functions.unicode import is_blank, strip
 from bhashaloom.operators import sample as S
 from bhashaloom.operators.clean import counters, first_of_each, process
 from bhashaloom.operators.stats import char_frequencies, corpus_statistics, top_characters
-from bhashaloom.plans.session import table
+from bhashaloom.plans.session import spread, table
 
 _RANGES = SCRIPT_RANGES | EXTRA_SCRIPT_RANGES
 _SETTINGS = Cleaning(script_ranges=_RANGES)
@@ -20,11 +20,11 @@ _SETTINGS = Cleaning(script_ranges=_RANGES)
 def _raw(spark: SparkSession, folder: str) -> DataFrame:
     """Collected lines; the language of a line is that of its file."""
     lines = table(spark, folder, "raw_lines").select("line_id", "file_name", "line_no", "line")
-    return lines.withColumn("lang", X.language_of_file(F.col("file_name"), FILE_LANGUAGES))
+    return spread(lines).withColumn("lang", X.language_of_file(F.col("file_name"), FILE_LANGUAGES))
 
 
 def _prepared(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "prepared_lines").select("line_id", "lang", "line_no", "line")
+    return spread(table(spark, folder, "prepared_lines").select("line_id", "lang", "line_no", "line"))
 
 
 def _full(frame: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "bhashaloom", **settings: str) -> SparkSession:
@@ -20,6 +20,15 @@ def local_session(cpus: int | str = "*", app: str = "bhashaloom", **settings: st
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, folder: str, name: str):
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the parquet tables in a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Frame over as many tasks as there are cores, where its files give fewer than half as many.
+
+    Small files would else keep most cores idle through costly steps. Large tables have splits enough and stay as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if 2 * frame._jdf.queryExecution().toRdd().getNumPartitions() < cores else frame
