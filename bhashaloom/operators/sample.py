@@ -15,7 +15,7 @@ from bhashaloom.plans.ranking import digest_rank, with_rank
 
 def sample_per_group(frame: DataFrame, group: str, key: str, k: int, seed: int = 42) -> DataFrame:
     """k rows of each group without replacement; all rows of a smaller group."""
-    return digest_rank(frame, [group], order_key(seed, F.col(key)), [key]).where(F.col("rank") <= k).drop("rank")
+    return digest_rank(frame, [group], order_key(seed, F.col(key)), [key], "__rank").where(F.col("__rank") <= k).drop("__rank")
 
 
 def sample_proportional(frame: DataFrame, lang: str, line: str, key: str, sizes: DataFrame, target: int, seed: int = 42) -> DataFrame:
@@ -41,9 +41,9 @@ def head_sample(frame: DataFrame, group: str, line_no: str, line: str, key: str,
 def split_exact(frame: DataFrame, group: str, key: str, ratio: float, seed: int = 42) -> DataFrame:
     """Frame with ``split``: floor(n * ratio) rows of each group are test, the others train."""
     sizes = frame.groupBy(F.col(group).alias("__g")).agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).alias("__quota"))
-    ranked = digest_rank(frame, [group], order_key(seed, F.col(key)), [key])
+    ranked = digest_rank(frame, [group], order_key(seed, F.col(key)), [key], "__rank")
     joined = ranked.join(sizes, F.col(group).eqNullSafe(F.col("__g")))
-    return joined.select(*frame.columns, F.when(F.col("rank") <= F.col("__quota"), "test").otherwise("train").alias("split"))
+    return joined.select(*frame.columns, F.when(F.col("__rank") <= F.col("__quota"), "test").otherwise("train").alias("split"))
 
 
 def shuffled(frame: DataFrame, group: Sequence[str], key: str, seed: int = 42) -> DataFrame:
