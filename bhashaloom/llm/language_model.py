@@ -18,6 +18,8 @@ import xxhash
 
 #: Longest n-gram, and hashed features.
 LONGEST, FEATURES = 4, 1 << 17
+#: The least probability that a word leaves to a class, and how much words by themselves count in a text.
+FLOOR, WORD_WEIGHT = 1e-3, 0.5
 
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 _TAG, _FORMAT = regex.compile(r"<[^<>]*>"), regex.compile(r"\p{Cf}+")
@@ -81,6 +83,7 @@ class Model:
     bias: np.ndarray
     idf: np.ndarray
     temperature: float = 1.0
+    text_temperature: float = 1.0
     known: dict[str, int] = field(default_factory=dict)
     most_known: int = 400_000
 
@@ -110,10 +113,23 @@ class Model:
         """Calibrated logits of texts of so many words each."""
         return (_sums(parts, counts) / np.sqrt(np.maximum(_sums(squares, counts), 1e-9))[:, None] + self.bias) / self.temperature
 
+    def word_scores(self, parts: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        """Log-probabilities of each word by itself; none falls below FLOOR, so that no word decides alone."""
+        if not len(parts):
+            return np.zeros(parts.shape)
+        return np.log(np.maximum(softmax(self.logits(parts, squares, np.ones(len(parts), np.int64))), FLOOR))
+
+    def text_logits(self, parts: np.ndarray, squares: np.ndarray, counts: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Calibrated logits of texts by all their features together and by their words one by one: in a long text, whose
+        features are divided by a great length, a few telling words would else hardly count."""
+        together = self.logits(parts, squares, counts) * self.temperature
+        return (together + WORD_WEIGHT * _sums(scores, counts)) / self.text_temperature
+
     def predict(self, texts: list[list[str]]) -> np.ndarray:
         """Probabilities of each class for texts given as words."""
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        return softmax(self.logits(*self.parts_of(list(chain.from_iterable(texts))), counts))
+        parts, squares = self.parts_of(list(chain.from_iterable(texts)))
+        return softmax(self.text_logits(parts, squares, counts, self.word_scores(parts, squares)))
 
 
 def train(texts: list[list[str]], labels: list[str], *, epochs: int = 3, batch: int = 128, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.3, l2: float = 1e-4, held_out: float = 0.1, seed: int = 42) -> Model:
@@ -178,26 +194,28 @@ def train(texts: list[list[str]], labels: list[str], *, epochs: int = 3, batch:
             bias -= 0.05 * wrong.mean(axis=0)
     model = Model(classes, weights(np.arange(FEATURES)).astype(np.float32), bias, idf)
     if len(held):
-        model.temperature = _temperature(model, [texts[i] for i in held], np.array([number[labels[i]] for i in held]))
+        own, goal = [texts[i] for i in held], np.array([number[labels[i]] for i in held])
+        counts = np.fromiter(map(len, own), np.int64, len(own))
+        parts, squares = model.parts_of(list(chain.from_iterable(own)))
+        model.temperature = _temperature(model.logits(parts, squares, counts), goal)
+        model.text_temperature = _temperature(model.text_logits(parts, squares, counts, model.word_scores(parts, squares)), goal)
     return model
 
 
-def _temperature(model: Model, texts: list[list[str]], targets: np.ndarray) -> float:
+def _temperature(logits: np.ndarray, targets: np.ndarray) -> float:
     """The temperature under which the held-out labels are likeliest; labels may be wrong, so each class keeps a hundredth."""
-    counts = np.fromiter(map(len, texts), np.int64, len(texts))
-    logits = model.logits(*model.parts_of(list(chain.from_iterable(texts))), counts)
 
     def loss(t: float) -> float:
         p = softmax(logits / t)[np.arange(len(targets)), targets]
-        return -np.log(0.99 * p + 0.01 / len(model.classes)).mean()
+        return -np.log(0.99 * p + 0.01 / logits.shape[1]).mean()
 
-    return float(min(np.geomspace(0.05, 4, 60), key=loss))
+    return float(min(np.geomspace(0.05, 8, 70), key=loss))
 
 
 #: How names of letters are written in Latin letters; other letters keep their Unicode name's spelling. Fixed values.
 _SPELLING = {
-    "c": "ch", "ch": "chh", "tt": "t", "tth": "th", "dd": "d", "ddh": "dh", "nn": "n", "nnn": "n", "ll": "l", "lll": "zh", "rr": "r", "ss": "sh", "ny": "n", "ng": "n",
-    "aa": "aa", "ii": "ee", "uu": "oo", "ee": "e", "oo": "o", "vocalic r": "ri", "candra e": "e", "candra o": "o", "rra": "r", "ddd": "d", "dddh": "dh", "yy": "y",
+    "c": "ch", "ch": "chh", "tt": "t", "tth": "th", "dd": "d", "ddh": "dh", "nn": "n", "nnn": "n", "ll": "l", "lll": "zh", "rr": "r", "ss": "sh", "ny": "ny", "ng": "ng",
+    "aa": "aa", "ii": "ee", "uu": "oo", "ee": "e", "oo": "o", "vocalic r": "ri", "candra e": "e", "candra o": "o", "rra": "r", "ddd": "d", "dddh": "dh",
 }
 _SCRIPTS = ("DEVANAGARI", "GUJARATI", "MALAYALAM", "KANNADA", "ORIYA", "BENGALI", "TAMIL", "TELUGU", "GURMUKHI")
 #: Scripts whose words lose a final inherent vowel in speech.
@@ -215,7 +233,9 @@ def _letter(ch: str) -> tuple[str, str, str]:
             if rest.startswith("LETTER CHILLU "):
                 kind, said = "vowel", rest.split()[-1].lower()
                 said = _SPELLING.get(said, said)
-            elif rest.startswith("LETTER "):
+            elif rest == "SIGN NUKTA":
+                kind, said = "dot", ""
+            elif rest.startswith("LETTER ") and rest != "LETTER YYA":
                 sound = rest[7:].lower()
                 if sound.endswith("a") and sound not in ("a", "aa"):
                     kind, said = "consonant", _SPELLING.get(sound[:-1], sound[:-1])
@@ -244,6 +264,6 @@ def romanised(word: str) -> str:
             out.append(said)
         open_ = kind == "consonant" or (open_ and kind == "mark" and not said)
         last = script
-    if open_ and not (last in _SILENT and len(word) > 1):
+    if open_ and last not in _SILENT:
         out.append("a")
     return "".join(out)

@@ -18,11 +18,11 @@ from bhashaloom.llm.language_model import Model, romanised, softmax, train, word
 LINES_PER_LANGUAGE = 1500
 #: Words that a stretch needs to count as a part of a mixed line, and that a line needs to be judged.
 STRETCH_WORDS, LINE_WORDS = 5, 6
-#: What a change of language within a line costs, in nats, and the least probability that a word leaves to a language.
-CHANGE, FLOOR = 9.0, 1e-3
+#: What a change of language within a line costs, in nats.
+CHANGE = 7.0
 #: How much likelier a language is where the line's label names it: most labels are right, so a label is doubted
 #: only if the text speaks clearly against it.
-LABEL_ODDS = 3.0
+LABEL_ODDS = 2.0
 
 
 @dataclass(frozen=True)
@@ -66,13 +66,13 @@ def fit(frame: DataFrame, text: str, label: str, languages: list[Language], key:
     uniform = F.pmod(F.xxhash64(F.lit(42), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = named.where(uniform < chance).limit(2 * per_language * max(1, len(counts))).collect()
     texts, labels = [], []
-    for i, r in enumerate(sorted(sample, key=lambda r: (str(r["key"]), r["text"]))):
+    for r in sorted(sample, key=lambda r: (str(r["key"]), r["text"])):
         words, spec = words_of(r["text"]), by_name[r["lang"]]
         if sum(sum(spec.lo <= ord(c) <= spec.hi for c in w) * 2 > len(w) for w in words) * 4 < len(words) * 3:
             continue
         texts.append(words)
         labels.append(spec.name)
-        if spec.lo > 0x24F and i % 2:
+        if spec.lo > 0x24F:
             texts.append([romanised(w) for w in words])
             labels.append(spec.name)
     return train(texts, labels)
@@ -108,15 +108,14 @@ def judge(model: Model, texts: list[list[str]], labels: list[str | None] | None
     """
     counts = np.fromiter(map(len, texts), np.int64, len(texts))
     parts, squares = model.parts_of(list(chain.from_iterable(texts)))
-    whole = softmax(model.logits(parts, squares, counts)) if len(texts) else np.zeros((0, len(model.classes)))
+    scores = model.word_scores(parts, squares)
+    whole = softmax(model.text_logits(parts, squares, counts, scores)) if len(texts) else np.zeros((0, len(model.classes)))
     if labels is not None and len(texts):
         number = {c: k for k, c in enumerate(model.classes)}
         for i, label in enumerate(labels):
             if label in number:
                 whole[i, number[label]] *= LABEL_ODDS
         whole /= whole.sum(axis=1, keepdims=True)
-    single = softmax(model.logits(parts, squares, np.ones(len(parts), np.int64))) if len(parts) else parts
-    scores = np.log(np.maximum(single, FLOOR))
     top = whole.argmax(axis=1) if len(texts) else np.zeros(0, np.int64)
     other = (scores.max(axis=1) - scores[np.arange(len(scores)), np.repeat(top, counts)] > 0.2) if len(parts) else np.zeros(0, bool)
     ends = np.cumsum(counts)
@@ -131,7 +130,7 @@ def judge(model: Model, texts: list[list[str]], labels: list[str | None] | None
         if n >= 2 * STRETCH_WORDS and against[i] >= 2:
             long_ = [x for x in stretches(scores[a:b]) if x[2] - x[1] >= STRETCH_WORDS]
             if len({x[0] for x in long_}) > 1:
-                sure = softmax(np.concatenate([model.logits(parts[a + s : a + e], squares[a + s : a + e], np.array([e - s])) for _, s, e in long_]))
+                sure = softmax(np.concatenate([model.text_logits(parts[a + s : a + e], squares[a + s : a + e], np.array([e - s]), scores[a + s : a + e]) for _, s, e in long_]))
                 found = [(lang, float(p[lang]), s, e) for (lang, s, e), p in zip(long_, sure)]
         out.append(found)
     return out

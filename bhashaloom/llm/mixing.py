@@ -74,17 +74,17 @@ def mix(frame: DataFrame, targets: DataFrame, columns: Columns = Columns(), tota
     """The mixture: the frame's columns and ``copy_no``, from 1, one row per use of a row.
 
     A row is used floor or ceil of its source's expected copies, never more often than the cap. The order within a source is
-    by a hash of the key, then the key; repeated keys are rows of their own. Rows of unwanted sources don't come out.
+    by a hash of the row, then the key; repeated keys and rows are rows of their own. Rows of unwanted sources don't come out.
     The same rows and seed give the same mixture. Only the columns that are selected of the result are shuffled.
     """
-    rates = plan(frame, targets, columns, total, size).where("copies > 0").select(F.col("source").alias("__source"), "n_rows", "copies")
+    rates = plan(frame, targets, columns, total, size).where("copies > 0").select(F.col("source").alias("__source"), F.col("n_rows").alias("__rows"), F.col("copies").alias("__copies"))
     rows = frame.withColumn("__source", F.col(columns.source))
     if targets.count() <= BROADCAST_TARGETS:
         rated = rows.join(F.broadcast(rates), "__source")
     else:
-        rated = salted_join(rows, rates, ["__source"], rates.where(F.col("n_rows") > BUCKET_ROWS).select("__source").limit(10_000), [columns.key])
-    buckets = F.ceil(F.col("n_rows") / F.lit(BUCKET_ROWS)).cast("long")
-    place = F.xxhash64(F.lit(seed), F.col(columns.key))
+        rated = salted_join(rows, rates, ["__source"], rates.where(F.col("__rows") > BUCKET_ROWS).orderBy(F.desc("__rows"), "__source").select("__source").limit(10_000), [columns.key])
+    buckets = F.ceil(F.col("__rows") / F.lit(BUCKET_ROWS)).cast("long")
+    place = F.xxhash64(F.lit(seed), *(c for c, kind in frame.dtypes if not kind.startswith(("map", "variant"))))  # null and repeated keys are spread by the other columns
     rated = rated.withColumns({"__place": place, "__bucket": F.pmod(place, buckets)})
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rated.groupBy("__source", "__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -92,7 +92,7 @@ def mix(frame: DataFrame, targets: DataFrame, columns: Columns = Columns(), tota
     ranked = rated.withColumn("__rank", rank).join(starts, ["__source", "__bucket"])
     position = F.col("__before") + F.col("__rank")
     start = offset(F.col("__source"), seed)
-    copies = F.floor(position * F.col("copies") + start) - F.floor((position - 1) * F.col("copies") + start)
+    copies = F.floor(position * F.col("__copies") + start) - F.floor((position - 1) * F.col("__copies") + start)
     used = ranked.withColumn("__uses", copies).where("__uses > 0")
     return used.select(*frame.columns, F.explode(F.sequence(F.lit(1), F.col("__uses").cast("int"))).alias("copy_no"))
 
