@@ -32,7 +32,7 @@ BITMAP_BITS = 1 << 26
 #: Lines of up to so many words are found by pairs, longer ones by single rare words, so that keys grow with length only.
 PAIR_WORDS = 48
 _M = (1 << 64) - 1
-_OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}\s]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}\s\x1c-\x1f]+")
 
 
 def shared_in_order(a: list, b: list) -> int:
