@@ -185,8 +185,7 @@ def overlap_classes(frame: DataFrame, key: str, text: str, is_test: str, lang: s
     one = _distinct(tests).select("lang", F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("norm").alias("t"), F.col("keys").alias("tk"), F.explode("keys").alias("key"))
     two = hits.select("lang", F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("norm").alias("r"), F.col("keys").alias("rk"), F.explode("keys").alias("key"))
     held = hits.select("lang", F.explode("keys").alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n"))
-    # A key's share is taken of the training lines, of which each has a key but once.
-    hot = hot_keys(held, ["lang", "key"], "n", trains.count(), share=1 / 5000)
+    hot = hot_keys(held, ["lang", "key"], "n", held.agg(F.sum("n")).first()[0] or 0)
     met = salted_join(two, one, ["lang", "key"], hot, ["r1"]).where(F.array_min(F.array_intersect("tk", "rk")) == F.col("key"))
     n, m = F.size(F.split("t", " ")), F.size(F.split("r", " "))
     met = met.where(F.least(n, m) >= F.greatest(n, m) * F.lit(share) - F.lit(1e-9)).select("t1", "t2", "r1", "r2", "t", "r")
