@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bhashaloom.plans.ranking import with_halo
@@ -78,3 +78,22 @@ def macro_mean(frame: DataFrame, group: str, value: str) -> DataFrame:
     """(group, mean, macro): the mean of each group, and the plain mean of those means."""
     means = frame.groupBy(group).agg(F.avg(value).alias("mean"))
     return means.withColumn("macro", F.avg("mean").over(Window.partitionBy(F.lit(1))))  # a row per group
+
+
+def parameter_shapes(spark: SparkSession, layers: int, width: int, vocabulary: int, context: int, bias: bool = False) -> DataFrame:
+    """(name, layers, shape, positional, decayed) of a decoder with tied embeddings: each kind of weight, how often it occurs, and
+    whether it is the table of positions and of rank two or more, which alone decay."""
+    kinds = [
+        ("token embedding", 1, [vocabulary, width]), ("position embedding", 1, [context, width]), ("norm before attention", layers, [width]), ("query, key and value", layers, [width, 3 * width]),
+        ("attention output", layers, [width, width]), ("norm before layer", layers, [width]), ("expansion", layers, [width, 4 * width]), ("contraction", layers, [4 * width, width]), ("last norm", 1, [width]),
+    ]
+    biases = [(f"{n} bias", c, [s[-1]]) for n, c, s in kinds if bias and "embedding" not in n]
+    rows = [(n, c, s, n == "position embedding", len(s) >= 2) for n, c, s in kinds + biases]
+    return spark.createDataFrame(rows, "name string, layers int, shape array<bigint>, positional boolean, decayed boolean")
+
+
+def parameter_counts(shapes: DataFrame) -> DataFrame:
+    """(total, without_positions, decayed): sizes of all weights, of all but the positions, and of those that decay."""
+    size = F.aggregate("shape", F.lit(1).cast("bigint"), lambda a, n: a * n) * F.col("layers")
+    some = lambda condition: F.sum(F.when(condition, size).otherwise(0)).cast("bigint")
+    return shapes.agg(F.sum(size).cast("bigint").alias("total"), some(~F.col("positional")).alias("without_positions"), some(F.col("decayed")).alias("decayed"))

@@ -11,6 +11,7 @@ from bhashaloom.functions.unicode import is_blank, strip
 from bhashaloom.operators import sample as S
 from bhashaloom.operators.clean import counters, first_of_each, process
 from bhashaloom.operators.stats import char_frequencies, corpus_statistics, top_characters
+from bhashaloom.plans.jobs import retention
 from bhashaloom.plans.session import spread, table
 
 _RANGES = SCRIPT_RANGES | EXTRA_SCRIPT_RANGES
@@ -134,10 +135,15 @@ def train_test_split(spark: SparkSession, folder: str) -> DataFrame:
     return S.split_exact(_prepared(spark, folder), "lang", "line_id", 0.05).select("line_id", "lang", "split")
 
 
+def retention_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of a thousand lines of each file's language the cleaning keeps."""
+    return retention(_raw(spark, folder), "line", "lang", "line_id", 1000, _SETTINGS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         clean_lines, nfkc_lines, normalize_script, quality_filter, script_filter, script_filter_unknown_lang, preprocess_pipeline, preprocess_counters, dedup_lines, corpus_stats,
-        char_freq, top_chars, sentences, line_counts, sample_k_lines, sample_proportional, head_sample, train_test_split,
+        char_freq, top_chars, sentences, line_counts, sample_k_lines, sample_proportional, head_sample, train_test_split, retention_estimate,
     )
 }

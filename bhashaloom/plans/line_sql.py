@@ -121,6 +121,8 @@ SQL = {
     "script_filter_unknown_lang": f"WITH {_RAW_FULL} SELECT lang, count(*) AS n_kept FROM lines WHERE {in_script('line', SCRIPT_RANGES)} GROUP BY lang",
     "preprocess_pipeline": f"{_PIPELINE} SELECT lang, min(line_id) AS line_id, text FROM d WHERE text <> '' GROUP BY lang, text",
     "preprocess_counters": f"{_PIPELINE} SELECT lang, count(*) AS n_read, count(DISTINCT text) FILTER (WHERE text <> '') AS n_kept, count(*) - count(DISTINCT text) FILTER (WHERE text <> '') AS n_skipped FROM d GROUP BY lang",
+    "retention_estimate": f"""{_PIPELINE} SELECT lang, count(*) AS n_sampled, count(*) FILTER (WHERE text <> '') AS n_kept, round(avg((text <> '')::INTEGER), 6) AS share
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || line_id), line_id) AS r FROM d) WHERE r <= 1000 GROUP BY lang""",
     "dedup_lines": f"WITH {_RAW_FULL} SELECT lang, min(line_id) AS line_id, md5(text) AS digest FROM (SELECT lang, line_id, {strip('line')} AS text FROM lines) GROUP BY lang, text",
     "corpus_stats": _TOTALS,
     "char_freq": f"{_CHARS} SELECT lang, ch, cnt FROM freq",

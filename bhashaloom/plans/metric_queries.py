@@ -95,15 +95,22 @@ def multinomial_draw(spark: SparkSession, folder: str) -> DataFrame:
     return staged.select("vec_id", A.draw(F.col("p"), uniform(42, F.col("vec_id"))).cast("bigint").alias("drawn"))
 
 
+def parameter_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights of a decoder of twelve layers."""
+    return M.parameter_counts(M.parameter_shapes(spark, 12, 768, 50304, 1024))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (rolling_mean, ema, step_delta, duration_text, lr_schedule, mfu, macro_loss, resource_summary, tensor_summary, topk_softmax, cross_entropy, multinomial_draw)
+    for f in (parameter_counts, rolling_mean, ema, step_delta, duration_text, lr_schedule, mfu, macro_loss, resource_summary, tensor_summary, topk_softmax, cross_entropy, multinomial_draw)
 }
 
 _SERIES = "series AS (SELECT event_id, event_type, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events)"
 _VECTORS = "vectors AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 
 SQL = {
+    "parameter_counts": """WITH w AS (SELECT 50304 * 768 AS token, 1024 * 768 AS place, 12 * 12 * 768 * 768 AS layers, 25 * 768 AS norms)
+SELECT (token + place + layers + norms)::BIGINT AS total, (token + layers + norms)::BIGINT AS without_positions, (token + place + layers)::BIGINT AS decayed FROM w""",
     "rolling_mean": f"""WITH {_SERIES} SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 99 PRECEDING), 9) AS mean_100,
 round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 19 PRECEDING), 9) AS mean_20 FROM series""",
     "ema": f"""WITH RECURSIVE {_SERIES}, full_ AS (SELECT * FROM series WHERE value IS NOT NULL), e AS (

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bhashaloom.config import Packing
+from bhashaloom.functions.text import shortened
 from bhashaloom.functions.unicode import is_blank
 from bhashaloom.operators import loader as L
 from bhashaloom.operators import sample as S
@@ -149,10 +150,18 @@ def bin_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return read.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sequences"), F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t)).alias("token_sum"))
 
 
+def tokenizer_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten lines of each language with their subword ids, their number and tokens per character."""
+    lines = table(spark, folder, "prepared_lines").where(~is_blank(F.col("line"))).select("lang", "line_id", "line")
+    some = S.sample_per_group(lines, "lang", "line_id", 10)
+    ids = K.subword_ids(some, "line_id", "line", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return some.join(ids, "line_id").select("lang", "line_id", shortened(F.col("line")).alias("shown"), "tokens", F.size("tokens").alias("n_tokens"), F.round(F.size("tokens") / F.length("line"), 6).alias("per_char"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_lines_codepoint, token_lines_words, token_lines_subword, pack_sequences, shift_windows, shift_windows_repeating, context_crop, shuffle_sequences, buffer_shuffle, language_weights,
-        batch_allocation, mixed_batch, language_batch, padded_batch, random_windows, dataset_counts, fertility, fertility_subword, shard_counts, bin_roundtrip,
+        batch_allocation, mixed_batch, language_batch, padded_batch, random_windows, dataset_counts, fertility, fertility_subword, shard_counts, bin_roundtrip, tokenizer_report,
     )
 }
