@@ -52,7 +52,7 @@ def label_language(label: Column, languages: list[Language]) -> Column:
 
 
 def fit(frame: DataFrame, text: str, label: str, languages: list[Language], key: str, per_language: int = LINES_PER_LANGUAGE) -> Model:
-    """A model from a bounded sample of the labelled lines, by a hash of the key.
+    """A model from a bounded sample of the labelled lines, by a hash of key and text.
 
     Lines count whose letters are mostly of the label's script; the rest are taken to be labelled wrong. Lines in
     a script of their own are learnt in Latin spelling, too, as nobody labels those reliably.
@@ -63,7 +63,7 @@ def fit(frame: DataFrame, text: str, label: str, languages: list[Language], key:
     chance = F.lit(0.0)
     for lang, n in counts.items():
         chance = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(chance)
-    uniform = F.pmod(F.xxhash64(F.lit(42), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    uniform = F.pmod(F.xxhash64(F.lit(42), "key", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = named.where(uniform < chance).limit(2 * per_language * max(1, len(counts))).collect()
     texts, labels = [], []
     for r in sorted(sample, key=lambda r: (str(r["key"]), r["text"])):

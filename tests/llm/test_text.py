@@ -6,7 +6,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from bhashaloom.llm import encoding as G
 from bhashaloom.llm import language_model as M
