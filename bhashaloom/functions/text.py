@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bhashaloom.config import REPLACEMENTS
-from bhashaloom.functions.unicode import LETTER, SPACE, strip
+from bhashaloom.functions.unicode import LETTER, strip
 
 #: Where sentences end: danda, full stop, exclamation and question mark.
 SENTENCE_END = "[।.!?]+"

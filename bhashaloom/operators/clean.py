@@ -28,13 +28,14 @@ def clean(frame: DataFrame, line: str, lang: str, settings: Cleaning = Cleaning(
         staged = _once(staged, "__c", X.normalize_script(F.col("__b"), F.col(lang)))
     else:
         staged = staged.withColumns({"__b": F.col("__a"), "__c": F.col("__a")})
-    staged = staged.withColumns({"__letters": X.alpha_count(F.col("__c")), "__own": X.script_count(F.col("__c"), F.col(lang), settings.script_ranges)})
+    counts = F.struct(X.alpha_count(F.col("__c")).alias("letters"), X.script_count(F.col("__c"), F.col(lang), settings.script_ranges).alias("own"))
+    staged = _once(staged, "__n", counts)
     keep = F.lit(True)
     if settings.remove_low_quality:
-        keep = X.is_quality(F.col("__c"), F.col("__letters"), settings.min_length, settings.max_repeats, settings.min_alpha)
+        keep = X.is_quality(F.col("__c"), F.col("__n.letters"), settings.min_length, settings.max_repeats, settings.min_alpha)
     if settings.script_filtering:
-        keep = keep & X.is_target_script(F.col("__letters"), F.col("__own"), settings.min_script)
-    return staged.withColumn(out, F.when(keep, strip(F.col("__c"))).otherwise(F.lit(""))).drop("__a", "__b", "__c", "__letters", "__own")
+        keep = keep & X.is_target_script(F.col("__n.letters"), F.col("__n.own"), settings.min_script)
+    return _once(staged, out, F.when(keep, strip(F.col("__c"))).otherwise(F.lit(""))).drop("__a", "__b", "__c", "__n")
 
 
 def first_of_each(frame: DataFrame, lang: str, text: str, order: str) -> DataFrame:
