@@ -69,6 +69,13 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def _repeated(values: np.ndarray, counts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values, of so many each, in an order that may repeat them; and the runs' lengths."""
+    n = counts[order]
+    ends = np.cumsum(n)
+    return values[np.arange(int(n.sum())) + np.repeat((np.cumsum(counts) - counts)[order] - (ends - n), n)], n
+
+
 def softmax(logits: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -132,7 +139,7 @@ class Model:
         return softmax(self.text_logits(parts, squares, counts, self.word_scores(parts, squares)))
 
 
-def train(texts: list[list[str]], labels: list[str], *, epochs: int = 3, batch: int = 128, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.3, l2: float = 1e-4, held_out: float = 0.1, seed: int = 42) -> Model:
+def train(texts: list[list[str]], labels: list[str], *, epochs: int = 2, batch: int = 128, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.3, l2: float = 1e-4, held_out: float = 0.1, seed: int = 42) -> Model:
     """Fits a model; texts given as words, those without words left out. The held-out part sets the temperature.
 
     Each text is also seen as a stretch of one to six of its words, so that the model learns to judge short ones.
@@ -156,11 +163,14 @@ def train(texts: list[list[str]], labels: list[str], *, epochs: int = 3, batch:
         rows.append(t[at : at + n])
         targets += [number[labels[i]]] * 2
     targets = np.array(targets)
-    flat, per_word = ngrams(list(chain.from_iterable(rows)))
+    spoken = list(chain.from_iterable(rows))
+    place = {w: i for i, w in enumerate(dict.fromkeys(spoken))}
+    flat, per_word = _repeated(*ngrams(list(place)), np.fromiter(map(place.__getitem__, spoken), np.int64, len(spoken)))
     words = np.fromiter(map(len, rows), np.int64, len(rows))
     features = _sums(per_word.astype(np.float64), words).astype(np.int64)
     ends = np.cumsum(features)
-    seen = np.unique(np.repeat(np.arange(len(rows)), features) * FEATURES + flat) % FEATURES
+    pairs = np.sort(np.repeat(np.arange(len(rows)), features) * FEATURES + flat)
+    seen = pairs[np.diff(pairs, prepend=-1) != 0] % FEATURES  # each feature once for each row
     having = np.bincount(seen, minlength=FEATURES)
     idf = np.where(having > 0, np.log((1 + len(rows)) / (1 + having)) + 1, 0).astype(np.float32)  # features never seen say nothing
 
@@ -181,12 +191,14 @@ def train(texts: list[list[str]], labels: list[str], *, epochs: int = 3, batch:
             value = idf[hashes]
             length = np.sqrt(np.bincount(owner, value * value, minlength=len(some)))
             value = value / np.maximum(length[owner], 1e-9)
-            touched, back = np.unique(hashes, return_inverse=True)
+            by_hash = np.argsort(hashes, kind="stable")
+            first = np.flatnonzero(np.diff(hashes[by_hash], prepend=-1))
+            touched, back = hashes[by_hash[first]], np.empty(len(hashes), np.int64)
+            back[by_hash] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
             w = weights(touched)
-            scores = np.stack([np.bincount(owner, value * w[back, c], minlength=len(some)) for c in range(k)], axis=1) + bias
-            wrong = softmax(scores)
+            wrong = softmax(np.add.reduceat(value[:, None] * w[back], np.cumsum(features[some]) - features[some], axis=0) + bias)
             wrong[np.arange(len(some)), targets[some]] -= 1
-            g = np.stack([np.bincount(back, value * wrong[owner, c], minlength=len(touched)) for c in range(k)], axis=1)
+            g = np.add.reduceat((value[:, None] * wrong[owner])[by_hash], first, axis=0)
             old = n2[touched]
             new = old + g * g
             z[touched] += g - (np.sqrt(new) - np.sqrt(old)) / alpha * w
