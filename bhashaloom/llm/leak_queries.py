@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bhashaloom.llm.leaks import leaked_passages
-from bhashaloom.plans.session import table
+from bhashaloom.plans.session import spread, table
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaked_passages(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    return leaked_passages(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

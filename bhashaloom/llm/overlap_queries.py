@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bhashaloom.llm.cross_split import overlaps
-from bhashaloom.plans.session import table
+from bhashaloom.plans.session import spread, table
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return overlaps(table(spark, folder, "prepared_lines"), "line_id", "line", "is_test", "lang")
+    return overlaps(spread(table(spark, folder, "prepared_lines").select("line_id", "line", "is_test", "lang")), "line_id", "line", "is_test", "lang")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
