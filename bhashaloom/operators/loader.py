@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bhashaloom.functions.keyed import integer, uniform
-from bhashaloom.plans.ranking import with_rank
+from bhashaloom.plans.ranking import order_bucket, with_rank
 
 
 def language_weights(frame: DataFrame, group: list[str]) -> DataFrame:
@@ -40,7 +40,8 @@ def mixed_batches(frame: DataFrame, lang: str, key: str, batch: int, seed: int =
         inside = (F.col("at") >= lo) & (F.col("at") < hi)
         drawn, size = F.when(inside, F.lit(name)).otherwise(drawn), F.when(inside, F.lit(n)).otherwise(size)
     taken = with_rank(slots.select("draw", drawn.alias("lang"), size.alias("n")), ["lang"], F.floor(F.col("draw") / 65536), ["draw"], "turn")
-    numbered = with_rank(frame.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("key")), ["lang"], F.floor(F.col("key") / 65536), ["key"], "nth")
+    own = frame.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("key"))
+    numbered = with_rank(own, ["lang"], order_bucket(own, "key"), ["key"], "nth")
     wanted = taken.withColumn("nth", (F.col("turn") - 1) % F.col("n") + 1)
     out = wanted.join(numbered, ["lang", "nth"])
     return out.select(F.floor(F.col("draw") / batch).alias("batch"), (F.col("draw") % batch).alias("slot"), F.col("lang").alias(lang), F.col("key").alias(key))
@@ -48,7 +49,8 @@ def mixed_batches(frame: DataFrame, lang: str, key: str, batch: int, seed: int =
 
 def single_batches(frame: DataFrame, group: list[str], key: str, batch: int) -> DataFrame:
     """(group, batch, slot, key) in order of the key; the last batch of a group may be short."""
-    ranked = with_rank(frame.select(*group, key), group, F.floor(F.col(key) / 65536), [key], "nth")
+    own = frame.select(*group, key)
+    ranked = with_rank(own, group, order_bucket(own, key), [key], "nth")
     return ranked.select(*group, F.floor((F.col("nth") - 1) / batch).alias("batch"), ((F.col("nth") - 1) % batch).alias("slot"), key)
 
 
@@ -68,7 +70,8 @@ def random_windows(sequences: DataFrame, lang: str, key: str, tokens: str, windo
     A window spans two sequences at most, as none is shorter than it; only those are joined.
     """
     width = F.size(tokens)
-    numbered = with_rank(sequences.where(F.col(lang).isNotNull()).select(lang, key, tokens), [lang], F.floor(F.col(key) / 65536), [key], "nth")
+    own = sequences.where(F.col(lang).isNotNull()).select(lang, key, tokens)
+    numbered = with_rank(own, [lang], order_bucket(own, key), [key], "nth")
     sizes = numbered.groupBy(lang).agg(F.count(F.lit(1)).alias("n"), F.max(width).cast("bigint").alias("width"))
     usable = sizes.where(F.col("n") * F.col("width") > length)
     draws = usable.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(windows - 1).cast("bigint"))))

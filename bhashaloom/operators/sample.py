@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bhashaloom.functions.keyed import order_key
 from bhashaloom.functions.text import shortened
 from bhashaloom.functions.unicode import is_blank, strip
-from bhashaloom.plans.ranking import digest_rank, with_rank
+from bhashaloom.plans.ranking import digest_rank, order_bucket, with_rank
 
 
 def sample_per_group(frame: DataFrame, group: str, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -53,6 +53,6 @@ def shuffled(frame: DataFrame, group: Sequence[str], key: str, seed: int = 42) -
 
 def buffer_shuffled(frame: DataFrame, group: str, key: str, buffer_rows: int = 250_000, seed: int = 42) -> DataFrame:
     """Frame with ``buffer`` and ``pos``: buffers of consecutive rows in shuffled order, shuffled rows within each."""
-    numbered = with_rank(frame, [group], F.floor(F.col(key) / 65536), [key], "__nth").withColumn("buffer", F.floor((F.col("__nth") - 1) / buffer_rows))
+    numbered = with_rank(frame, [group], order_bucket(frame, key), [key], "__nth").withColumn("buffer", F.floor((F.col("__nth") - 1) / buffer_rows))
     place = F.concat(order_key(seed, F.col("buffer")), order_key(seed, F.col(key)))
     return with_rank(numbered, [group], F.substring(place, 1, 3), [place, key], "pos").drop("__nth")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from bhashaloom.config import Packing
 from bhashaloom.functions.text import characters
 from bhashaloom.functions.unicode import is_blank, pieces, strip
-from bhashaloom.plans.ranking import with_rank
+from bhashaloom.plans.ranking import order_bucket, with_rank
 
 _MODELS: dict = {}
 
@@ -65,7 +65,7 @@ def decode_subwords(frame: DataFrame, key: str, tokens: str, model: str) -> Data
 
 def chunked(frame: DataFrame, group: list[str], order: str, chunk_rows: int) -> DataFrame:
     """Frame with ``chunk``: blocks of so many consecutive rows of each group, from 0."""
-    ranked = with_rank(frame, group, F.floor(F.col(order) / 65536), [order], "__nth")
+    ranked = with_rank(frame, group, order_bucket(frame, order), [order], "__nth")
     return ranked.withColumn("chunk", F.floor((F.col("__nth") - 1) / chunk_rows)).drop("__nth")
 
 

@@ -12,6 +12,7 @@ from bhashaloom.operators.sample import sample_per_group, shuffled, split_exact
 from bhashaloom.operators.stats import char_frequencies, corpus_statistics, top_characters
 from bhashaloom.operators.tokens import pack, subword_ids
 from bhashaloom.plans.session import spread
+from bhashaloom.plans.skew import checkpointed
 from bhashaloom.sources.metadata import dataset_metadata, write_metadata
 from bhashaloom.sources.sequences import write_sequences
 from bhashaloom.sources.text import line_offsets, statistics_report, write_lines
@@ -56,7 +57,8 @@ def prepare_dataset(spark: SparkSession, source: str, target: str, model: str, s
     lines = spark.read.parquet(source).where(~is_blank(F.col("text"))).select(F.col("lang").cast("string").alias("lang"), "line_id", "text")
     lines = split_exact(lines, "lang", "line_id", settings.test_ratio, settings.seed)
     keyed = lines.withColumn("key", F.struct("lang", "split", "line_id"))
-    tokens = subword_ids(spread(keyed), "key", "text", model).select("key.lang", "key.split", "key.line_id", "tokens")
+    # Written once: packing reads the rows several times, and the tokenizer is the costly step.
+    tokens = checkpointed(subword_ids(spread(keyed), "key", "text", model).select("key.lang", "key.split", "key.line_id", "tokens"))
     packed = pack(tokens, ["lang", "split"], "line_id", "tokens", settings).withColumn("place", F.col("chunk") * 1_000_000 + F.col("seq"))
     train = shuffled(packed.where("split = 'train'"), ["lang"], "place", settings.seed)
     every = train.unionByName(packed.where("split = 'test'").withColumn("pos", F.col("place")))

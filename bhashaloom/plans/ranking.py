@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 DIGEST_DIGITS = 3
 
 
+def order_bucket(frame: DataFrame, key: str) -> Column:
+    """Buckets of consecutive whole numbers for with_rank: 65,536 of them, or wider ones where the keys are sparse, so
+    that there are at most 4096 buckets or one for 16,384 rows, however the keys are spread. One small aggregation."""
+    span = frame.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    width = max(65_536, -(-(hi - lo + 1) // max(4096, span["n"] // 16_384)))
+    return F.floor((F.col(key).cast("decimal(20,0)") - F.lit(lo)) / F.lit(width)).cast("bigint")
+
+
 def with_rank(frame: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column | str], rank: str = "rank") -> DataFrame:
     """Frame with the rank of each row in its group, from 1.
 

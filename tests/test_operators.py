@@ -15,7 +15,7 @@ from bhashaloom.operators import metrics as M
 from bhashaloom.operators import sample as S
 from bhashaloom.operators import tokens as K
 from bhashaloom.operators.stats import char_frequencies, corpus_statistics, top_characters
-from bhashaloom.plans.ranking import digest_rank, with_rank
+from bhashaloom.plans.ranking import digest_rank, order_bucket, with_rank
 from bhashaloom.plans.skew import hot_keys, salted_join
 
 
@@ -47,6 +47,16 @@ def test_ranks(spark):
         assert {g: sorted(v) == list(range(1, len(v) + 1)) for g, v in per.items()} == {"a": True, "b": True, None: True}
 
 
+def test_sparse_keys(spark):
+    keys = [0, 5, 2**62, -(2**62), 2**40, 2**40 + 1, 7 * 10**15]
+    frame = spark.createDataFrame([("g", k) for k in keys], "g string, id long")
+    bucket = order_bucket(frame, "id")
+    got = with_rank(frame, ["g"], bucket, ["id"]).collect()
+    assert {r["id"]: r["rank"] for r in got} == {k: i + 1 for i, k in enumerate(sorted(keys))}
+    assert frame.select(bucket.alias("b")).agg(F.max("b")).first()[0] <= 4096
+    assert with_rank(frame.limit(0), ["g"], order_bucket(frame.limit(0), "id"), ["id"]).count() == 0
+
+
 def test_salted_join(spark):
     many = spark.createDataFrame([("h", i) for i in range(3000)] + [("c", 1), ("c", 2), (None, 5)], "k string, id long")
     few = spark.createDataFrame([("h", 10), ("c", 20), ("d", 30), (None, 40)], "k string, v int")
