@@ -71,7 +71,7 @@ _LATIN = (
 #: Sentences that stand in place of content, in English and the languages of the corpus. Fixed values.
 FILLERS = regex.compile(
     r"(?<!\w)(?:" + "|".join([
-        rf"(?:(?:{'|'.join(_LATIN)})\W+){{3,}}(?:{'|'.join(_LATIN)})",
+        rf"(?:(?:{'|'.join(_LATIN)})\W+){{3,}}(?:{'|'.join(_LATIN)})(?!\w)",
         r"(?:text )(?:text\W+){1,}text", r"(?:blah\W+){2,}blah", r"(?:asdf\W+){2,}", r"asdf\W+qwer", r"qwerty\W+qwerty", r"(?:test\W+){2,}(?:\d+\W+test)?", r"foo\W+bar\W+baz",
         r"(?:content|text|description|details|more) coming soon", r"coming soon\W*$", r"(?:sample|placeholder|dummy|filler) (?:text|content|paragraph|sentence) goes here", r"placeholder (?:text|paragraph|content|image)",
         r"(?:your|the|a) (?:text|heading|headline|title|content|name|subtitle|caption|description)s? (?:goes )?here", r"type something", r"add (?:a|an|your|some) (?:short |brief )?(?:description|text|title|caption|heading|content)",
@@ -119,13 +119,16 @@ _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
 #: Every field has one of these signs, every printed value and every filler one of these parts; texts without are passed over.
+#: No part holds a space, as a quoted passage may stand there, which is taken out before the rules are tried.
 _FIELD_SIGN = regex.compile(r"[{\[<«%@#]|__")
-_MISSING_PARTS = ("undefined", "null", "None", "NaN", "NULL", "nil", "(none)", "[object ", "Invalid Date", "N/A", "???", "XXXX", "TBD", "NaT", "#")
+_MISSING_PARTS = ("undefined", "null", "None", "NaN", "NULL", "nil", "(none)", "[object", "Invalid", "N/A", "???", "XXXX", "TBD", "NaT", "#")
 _FILLER_PARTS = (
-    *_LATIN[:8], "dolore", "tempor", "magna", "aliqua", "veniam", "quis", "minim", "labore", "enim", "text", "blah", "asdf", "qwer", "test", "foo", "coming soon", "sample", "placeholder", "dummy",
-    "filler", " here", "type something", "add a", "add your", "add some", "नमूना", "नमुना", "शीर्षक", "अपना", "विवरण", "मजकूर", "तुमचे", "तपशील", "वर्णन", "माहिती", "નમૂના", "શીર્ષક", "તમારું", "વિગત", "વર્ણન",
+    *(w for w in _LATIN if len(w) > 4), "text", "blah", "asdf", "qwer", "test", "foo", "soon", "sample", "placeholder", "dummy", "filler", "something", "heading", "headline", "title", "content", "name", "caption", "description", "edit",
+    "नमूना", "नमुना", "शीर्षक", "अपना", "विवरण", "मजकूर", "तुमचा", "तुमचे", "तपशील", "वर्णन", "माहिती", "નમૂના", "શીર્ષક", "તમારું", "વિગત", "વર્ણન",
     "માહિતી", "മാതൃകാ", "തലക്കെട്ട്", "നിങ്ങളുടെ", "വിവരണം", "ಮಾದರಿ", "ಶೀರ್ಷಿಕೆ", "ನಿಮ್ಮ", "ವಿವರಣೆ", "ନମୁନା", "ଶୀର୍ଷକ", "ଏଠାରେ", "ବିବରଣ",
 )
+#: The other words of the Latin filler stand in many texts; filler without any longer one has four of them.
+_SHORT_LATIN = regex.compile(rf"(?<!\w)(?:{'|'.join(w for w in _LATIN if len(w) <= 4)})", _I)
 
 
 #: Every message has one of these parts in lower case; sentences without are passed over.
@@ -151,7 +154,12 @@ _FILLER_FINDER, _MESSAGE_FINDER = _finder(_FILLER_PARTS), _finder(_MESSAGE_PARTS
 
 
 def _holds(finder: ahocorasick.Automaton, text: str) -> bool:
-    return next(finder.iter(text.lower()), None) is not None
+    # The rules, which ignore case, take these two letters for i and s; lower() does not.
+    return next(finder.iter(text.replace("İ", "i").replace("ſ", "s").lower()), None) is not None
+
+
+def _may_have_filler(text: str) -> bool:
+    return _holds(_FILLER_FINDER, text) or len(_SHORT_LATIN.findall(text)) > 3
 
 
 def has_field(text: str) -> bool:
@@ -168,7 +176,7 @@ def has_field(text: str) -> bool:
 
 def has_filler(text: str) -> bool:
     """Filler that is not quoted."""
-    return _holds(_FILLER_FINDER, text) and bool(FILLERS.search(QUOTED.sub(" ", text)))
+    return _may_have_filler(text) and bool(FILLERS.search(QUOTED.sub(" ", text)))
 
 
 def is_message(text: str) -> bool:
