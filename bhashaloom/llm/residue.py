@@ -20,8 +20,13 @@ from pyspark.sql import types as T
 SHORT_SENTENCE = 12
 
 _I = regex.IGNORECASE
-_NAME = r"[\p{L}_$][\p{L}\p{M}\p{N}_.$ -]{0,40}"
-_TIGHT = r"[\p{L}_][\p{L}\p{M}\p{N}_.]{0,40}"
+#: Names of any length: with spaces, where a doubled or braced notation closes them; in one piece.
+_NAME = r"[\p{L}_$][\p{L}\p{M}\p{N}_.$ -]*+"
+_TIGHT = r"[\p{L}_][\p{L}\p{M}\p{N}_.]*+"
+#: Names in signs that prose has, too: up to 41 characters, or of any length in pieces that a dot, underscore or hyphen joins.
+_PIECES = r"[\p{L}_$][\p{L}\p{M}\p{N}$]*+(?:[_.-]++[\p{L}\p{M}\p{N}$]++)+[_.-]*+"
+_SHORT_NAME = rf"(?:[\p{{L}}_$][\p{{L}}\p{{M}}\p{{N}}_.$ -]{{0,40}}|{_PIECES})"
+_SHORT_TIGHT = rf"(?:[\p{{L}}_][\p{{L}}\p{{M}}\p{{N}}_.]{{0,40}}|{_PIECES.replace('$', '').replace('-', '')})"
 
 #: Fields of common template languages that were never filled in. Fixed patterns.
 FIELDS = regex.compile(
@@ -32,10 +37,10 @@ FIELDS = regex.compile(
         r"\{%-?\s*[\p{L}_][^%{}\n]*%\}",  # {% include 'name' %}
         r"<%[=-]?\s*[^%<>\n]+%>",  # <%= name %>
         r"<\?(?:=|php)\s*[^<>\n]*?\?>",  # <?= $name ?>
-        rf"<<\s*{_NAME}\s*>>",
-        rf"«\s*{_TIGHT}\s*»",
-        rf"\[\[\s*{_NAME}\s*\]\]",
-        rf"(?<!\w)__{_TIGHT}__(?!\w)",
+        rf"<<\s*{_SHORT_NAME}\s*>>",
+        rf"«\s*{_SHORT_TIGHT}\s*»",
+        rf"\[\[\s*{_SHORT_NAME}\s*\]\]",
+        r"(?<!\w)__[\p{L}_][\p{L}\p{M}\p{N}_.]{0,40}__(?!\w)",  # longer ones: _LONG_UNDERSCORED
         rf"@@{_TIGHT}@@",
         rf"##{_TIGHT}##",
         rf"(?<![\w%])%{_TIGHT}%(?![\w%])",
@@ -43,11 +48,14 @@ FIELDS = regex.compile(
         r"(?<![\w%])%[sdif](?![\w%])",
         r"<\s*(?:insert|enter|add|your)\b[^<>\n]{0,60}>",
         r"\[\s*(?:insert|enter|add|your)\b[^\[\]\n]{0,60}\]",
-        rf"\[(?!object\b){_TIGHT}\](?!\()",  # [name]
+        rf"\[(?!object\b){_SHORT_TIGHT}\](?!\()",  # [name]
     ]),
     _I,
 )
 
+#: __NAME__ of any length, from a run's first underscores before a letter, so that each run is gone through once; a line of underscores is none.
+_LONG_UNDERSCORED = regex.compile(r"(?<![\p{L}\p{M}\p{N}_.])(?>[\p{L}\p{M}\p{N}_.]*?(?<!\w)__(?=\p{L}))[\p{L}\p{M}\p{N}_.]*[\p{L}\p{M}\p{N}]__(?!\w)")
+
 #: What templates print for a value that is missing. Fixed patterns, in the case in which programs print them.
 MISSING = regex.compile(
     r"(?<!\S)(?:undefined|null|None|NaN|NULL|nil|\(null\)|\(undefined\)|\(none\)|\[object [A-Z]\w+\]|Invalid Date|N/A N/A|\?{3}|X{4,}|TBD|NaT|#(?:REF!|N/A|VALUE!|NAME\?|DIV/0!|NUM!|NULL!))(?=[\s.,;:!?।]|$)"
@@ -169,7 +177,7 @@ def has_field(text: str) -> bool:
         return False
     bare = QUOTED.sub(" ", text)
     # Quotation marks belong to some fields ({% include 'x' %}); those are looked for in the text itself, outside of code marks.
-    if signs and (FIELDS.search(bare) or ("{%" in text and regex.search(r"(?<!`)\{%-?\s*\w[^%{}`\n]*%\}(?!`)", text))):
+    if signs and (FIELDS.search(bare) or ("__" in bare and _LONG_UNDERSCORED.search(bare)) or ("{%" in text and regex.search(r"(?<!`)\{%-?\s*\w[^%{}`\n]*%\}(?!`)", text))):
         return True
     return printed and bool(MISSING.search(_SPOKEN.sub(" ", bare)))
 
