@@ -3,8 +3,8 @@
 A text is its set of five-word shingles. Texts of a similarity (Jaccard) of 0.8 share a shingle among the first
 fifth of either, in any fixed order; such shingles are the parts of the table, so that no link is lost, and
 shingles that very many texts share come last in the order. Within a part texts are compared by their 128-bit SimHash, and by their
-shingles if few enough bits differ. In a part with many texts all are held against one of them first: texts that are linked to
-it are in its component, and only those that are not are compared further.
+shingles if few enough bits differ. A part with many texts is cut into blocks, and each block is held against each by a task of its own,
+so that all links are found in parts of any size.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from bhashaloom.plans.skew import checkpointed, hot_keys, salted_join
 
 #: Words of a shingle; least similarity; bits of 128 that may differ at that similarity (about seven deviations above what is expected).
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 56
-#: A part with more texts is first held against one of them, for so many rounds, before what is left is compared in pairs.
-LARGE_PART, ROUNDS = 200, 4
+#: A part with more texts is cut into blocks of about so many.
+LARGE_PART = 200
 #: Shingles counted as common, at most, of each task's texts.
 COMMON = 2000
 
@@ -134,19 +134,24 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"part long, a {kind}, b {kind}, similarity double")
 
 
-def _alike(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Pairs of two tables of (part, id, n, s1, s2) in the same part that sizes and bits allow."""
-    x = one.select("part", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "s1", "s2")))
-    y = two.select("part", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "s1", "s2")))
+def _alike(parts: DataFrame) -> DataFrame:
+    """Pairs of a table of (part, id, n, s1, s2, texts) in the same part that sizes and bits allow.
+
+    One side of a pair goes to the cells of its block's row, the other to those of its block's column, so that each pair meets in one cell.
+    """
+    blocked = parts.withColumn("blocks", F.ceil(F.col("texts") / LARGE_PART).cast("int"))
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = blocked.select("part", F.col("block").alias("row"), F.col("other").alias("column"), *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "s1", "s2")))
+    y = blocked.select("part", F.col("other").alias("row"), F.col("block").alias("column"), *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "s1", "s2")))
     differ = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
     near = (differ <= BITS) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * SIMILARITY - 1e-9)
-    return x.join(y, "part").where(near & (F.col("id_a") < F.col("id_b"))).select("part", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return x.join(y, ["part", "row", "column"]).where(near & (F.col("id_a") < F.col("id_b"))).select("part", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def links(frame: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity) between the first ids of different texts that are alike, and (id, first) of every text.
 
-    Every component of the texts of similarity SIMILARITY or more is joined up by the links; a text with the same shingles as
+    All texts of similarity SIMILARITY or more are linked; a text with the same shingles as
     another is its copy. Null ids and texts, and texts without words, are in neither. Texts are read whole.
     """
     rows = frame.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -156,28 +161,12 @@ def links(frame: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     members = salted_join(table.select("id", "h1", "h2"), first.select("h1", "h2", "first"), ["h1", "h2"], hot, ["id"]).select("id", "first")
     firsts = table.join(first.select(F.col("first").alias("id")), "id", "left_semi")
     parts = firsts.select("id", "n", "s1", "s2", F.explode("parts").alias("part"))
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("pivot")).where("texts > 1")
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     parts = checkpointed(parts.join(sizes, "part"))  # parts of one text are gone
 
     def with_text(pairs: DataFrame) -> DataFrame:
         a, b = (rows.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         return pairs.join(a, "a").join(b, "b").select("part", "a", "b", "ta", "tb")
 
-    found, large = None, parts.where(F.col("texts") > LARGE_PART)
-    for _ in range(ROUNDS):
-        if large.isEmpty():
-            break
-        held = checkpointed(_verified(with_text(large.where("id != pivot").select("part", F.col("pivot").alias("a"), F.col("id").alias("b")))))
-        good = held.where(F.col("similarity") >= SIMILARITY - 1e-9)
-        found = good if found is None else found.unionByName(good)
-        # By the triangle inequality a text that is linked to the pivot can only be like an unlinked one whose distance is within 0.2 of its own.
-        nearest = held.where(F.col("similarity") < SIMILARITY - 1e-9).groupBy("part").agg(F.max("similarity").alias("nearest"))
-        rest = held.join(nearest, "part").where((F.col("similarity") < SIMILARITY - 1e-9) | (F.col("similarity") <= F.col("nearest") + (1 - SIMILARITY)))
-        left = large.drop("texts", "pivot").join(rest.select("part", F.col("b").alias("id")), ["part", "id"], "left_semi")
-        again = left.groupBy("part").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("pivot")).where("texts > 1")
-        large = checkpointed(left.join(again, "part"))
-    small = parts.where(F.col("texts") <= LARGE_PART).unionByName(large)
-    close = _alike(small, small).groupBy("a", "b").agg(F.min("part").alias("part")).select("part", "a", "b")
-    pairs = _verified(with_text(close)).where(F.col("similarity") >= SIMILARITY - 1e-9)
-    every = pairs if found is None else pairs.unionByName(found)
-    return every.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), members
+    close = _alike(parts).groupBy("a", "b").agg(F.min("part").alias("part")).select("part", "a", "b")
+    return _verified(with_text(close)).where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b", "similarity"), members
