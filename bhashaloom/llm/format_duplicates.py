@@ -8,8 +8,12 @@ lines of groups of two or more are then held against their group's first line, p
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bhashaloom.functions.unicode import ALNUM, letters_and_digits
 from bhashaloom.plans.skew import checkpointed, hot_keys, salted_join
@@ -18,8 +22,66 @@ from bhashaloom.plans.skew import checkpointed, hot_keys, salted_join
 _SEPARATED = r"^\s*(.*?)(?:[:=]| [-–—] )(.*)$"
 _JSON = rf'^[^{ALNUM}{{]*\{{\s*".*\}}[^{ALNUM}]*$'
 _JSON_PAIR = r'"((?:[^"\\]|\\.)*)"\s*:\s*("(?:[^"\\]|\\.)*"|[^",{}\[\]]*)'
-#: Ends the name within a pair; it is no letter, so no text can hold it.
-_END = "\x1f"
+#: What is left of an object without its pairs if they aren't all of it: letters or digits, an array, or an object within.
+_JSON_MORE = rf"[{ALNUM}]|\{{.*[\[{{]"
+#: Ends the name within a pair, and a name around a name; they are no letters, so no text can hold them.
+_END, _WITHIN = "\x1f", "\x1e"
+_LEAVES = T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.StringType())), T.StructField("value", T.StringType())]))
+_WORDS = {True: "true", False: "false", None: "null"}
+
+
+class _Object:
+    """A parsed object with all its pairs, repeated names too."""
+
+    def __init__(self, pairs: list):
+        self.pairs = pairs
+
+
+def _leaves(value, path: tuple[str, ...] = ()) -> list[tuple[list[str], str]]:
+    """(names from the outermost one inwards, value) of a parsed object. An array without objects is one value, its
+    entries one after the other; the entries of another one are named by their places."""
+    out, todo = [], [(value, path)]
+    while todo:
+        value, path = todo.pop()
+        if isinstance(value, _Object):
+            todo += [(x, (*path, name)) for name, x in value.pairs] or ([([], path)] if path else [])
+        elif isinstance(value, list):
+            flat, rest, objects = [], list(reversed(value)), False
+            while rest and not objects:
+                x = rest.pop()
+                objects = isinstance(x, _Object)
+                rest += reversed(x) if isinstance(x, list) else []
+                flat += [] if isinstance(x, list | _Object) else [x if isinstance(x, str) else _WORDS[x]]
+            if objects:
+                todo += [(x, (*path, str(i))) for i, x in enumerate(value)]
+            else:
+                out.append((list(path), " ".join(flat)))
+        else:
+            out.append((list(path), value if isinstance(value, str) else _WORDS[value]))
+    return out
+
+
+def _parsed(form: str) -> list[tuple[list[str], str]] | None:
+    """The leaves of the object in a line, or of the objects in an array; None if it can't be read as a whole."""
+    for first, last in ("[{", "]}"), ("{", "}"):
+        start, end = min(i for i in map(form.find, first) if i >= 0), max(map(form.rfind, last)) + 1
+        try:
+            out = _leaves(json.loads(form[start:end], object_pairs_hook=_Object, parse_int=str, parse_float=str, parse_constant=str, strict=False))
+            for path, value in out:
+                "".join([*path, value]).encode()  # half a surrogate pair is no text
+            return out
+        except (ValueError, RecursionError):
+            pass
+    return None
+
+
+@F.arrow_udf(_LEAVES)
+def _nested(forms: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("path", pa.list_(pa.string())), ("value", pa.string())]))
+    if forms.null_count == len(forms):
+        return pa.nulls(len(forms), kind)
+    found = (None if x is None else _parsed(x) for x in forms.to_pylist())
+    return pa.array([None if x is None else [{"path": p, "value": v} for p, v in x] for x in found], kind)
 
 
 def with_fields(frame: DataFrame, line: str, pairs: str = "pairs") -> DataFrame:
@@ -27,7 +89,9 @@ def with_fields(frame: DataFrame, line: str, pairs: str = "pairs") -> DataFrame:
 
     A line is a record if it is a JSON object, or has at least two parts between ``|`` (else ``;``) and each of
     them that holds a letter or digit has a name before a colon, an equals sign or a dash. Null and lines without
-    letters and digits have no pairs. The steps are columns of their own, so that none is worked out twice.
+    letters and digits have no pairs. The name of a field in an object within has the names around it before it; an
+    array is one value, or, if objects are in it, its entries are named by their places. A JSON object that can't be
+    read as a whole is prose, so that every letter and digit of a line is in some pair. The steps are columns of their own, so that none is worked out twice.
     """
     has_text = lambda c: c.rlike(f"[{ALNUM}]")
     pair = lambda name, value: F.concat(letters_and_digits(name), F.lit(_END), letters_and_digits(value))
@@ -40,13 +104,19 @@ def with_fields(frame: DataFrame, line: str, pairs: str = "pairs") -> DataFrame:
         F.when(F.col("__json").isNull() & F.col("__form").rlike("[|;]"), F.filter(F.split("__form", F.when(F.col("__form").contains("|"), F.lit(r"\|")).otherwise(F.lit(";"))), has_text)),
     )
     found = F.arrays_zip(*(F.regexp_extract_all("__json", F.lit(_JSON_PAIR), F.lit(i)).alias(f"g{i}") for i in (1, 2)))
-    staged = staged.withColumn("__objects", F.when(F.col("__json").isNotNull(), F.filter(F.transform(found, lambda x: pair(x["g1"], x["g2"])), has_text)))
+    # Nearly all objects are flat; only others go to Python.
+    staged = staged.withColumn("__more", F.coalesce(F.regexp_replace("__json", _JSON_PAIR, "").rlike(_JSON_MORE), F.lit(False)))
+    staged = staged.withColumn("__nested", _nested(F.when(F.col("__more"), F.col("__json"))))
+    path = lambda names: F.array_join(F.transform(names, letters_and_digits), _WITHIN)
+    leaves = F.transform("__nested", lambda x: F.concat(path(x["path"]), F.lit(_END), letters_and_digits(x["value"])))
+    flat = F.when(F.col("__json").isNotNull(), F.transform(found, lambda x: pair(x["g1"], x["g2"])))
+    staged = staged.withColumn("__objects", F.filter(F.when(F.col("__more"), leaves).otherwise(flat), has_text))
     named = F.forall("__parts", lambda p: p.rlike(_SEPARATED) & has_text(F.regexp_extract(p, _SEPARATED, 1)))
     split = F.transform("__parts", lambda p: pair(F.regexp_extract(p, _SEPARATED, 1), F.regexp_extract(p, _SEPARATED, 2)))
     staged = staged.withColumn("__split", F.when(F.col("__parts").isNotNull() & (F.size("__parts") > 1), F.when(named, split)))
     staged = staged.withColumn("__prose", F.when(F.size(F.coalesce("__objects", "__split", empty)) < 1, letters_and_digits(seen)))
     value = F.when(F.col("__prose").isNull(), F.coalesce("__objects", "__split", empty)).when(F.col("__prose") != "", F.array(F.concat(F.lit(_END), "__prose"))).otherwise(empty)
-    return staged.withColumn(pairs, value).drop("__form", "__json", "__parts", "__objects", "__split", "__prose")
+    return staged.withColumn(pairs, value).drop("__form", "__json", "__parts", "__more", "__nested", "__objects", "__split", "__prose")
 
 
 def fingerprint(pairs: Column) -> tuple[Column, Column]:
