@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,6 +151,22 @@ def bin_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return read.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sequences"), F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t)).alias("token_sum"))
 
 
+#: Stands for a missing language in file names, which end it at the first underscore.
+NO_LANGUAGE = "%"
+
+
+def bin_roundtrip_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """All sequences of both splits written as shard files and read again: sequences and tokens by split and language, a missing one too."""
+    path = tempfile.mkdtemp(prefix="bhashaloom-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/sequences-{uuid.uuid4().hex}"
+    read = []
+    for split in ("train", "test"):
+        some = _packed(spark, folder).where(F.col("split_name") == split)
+        write_sequences(some.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "tokens"), path, f"_{split}.bin")
+        read.append(read_sequences(spark, path, 1024, f"_{split}.bin").withColumn("split_name", F.lit(split)))
+    named = read[0].unionByName(read[1]).withColumn("lang", F.when(F.col("lang") != NO_LANGUAGE, F.col("lang")))
+    return named.groupBy("split_name", "lang").agg(F.count(F.lit(1)).alias("n_sequences"), F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t)).alias("token_sum"))
+
+
 def tokenizer_report(spark: SparkSession, folder: str) -> DataFrame:
     """Ten lines of each language with their subword ids, their number and tokens per character."""
     lines = table(spark, folder, "prepared_lines").where(~is_blank(F.col("line"))).select("lang", "line_id", "line")
@@ -162,6 +179,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_lines_codepoint, token_lines_words, token_lines_subword, pack_sequences, shift_windows, shift_windows_repeating, context_crop, shuffle_sequences, buffer_shuffle, language_weights,
-        batch_allocation, mixed_batch, language_batch, padded_batch, random_windows, dataset_counts, fertility, fertility_subword, shard_counts, bin_roundtrip, tokenizer_report,
+        batch_allocation, mixed_batch, language_batch, padded_batch, random_windows, dataset_counts, fertility, fertility_subword, shard_counts, bin_roundtrip, bin_roundtrip_splits, tokenizer_report,
     )
 }
