@@ -38,8 +38,8 @@ def words_of(text: str | None) -> list[str]:
 
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all words one after the other, and how many each word has: up to LONGEST characters, and the
-    whole word. The hash is the upper 17 bits. Words are cut into n-grams up to their 64th character."""
-    padded = [f"\x02{w[:64]}\x03" for w in words]
+    whole word. The hash is the upper 17 bits. Words of any length are read whole."""
+    padded = [f"\x02{w}\x03" for w in words]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(padded)), sizes)
