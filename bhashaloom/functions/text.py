@@ -19,12 +19,13 @@ SENTENCE_END = "[।.!?]+"
 
 def remove_html(text: Column) -> Column:
     """Text without tags; what stands between tags stays, as does an unclosed bracket."""
-    return F.regexp_replace(text, "<[^>]+>", "")
+    return F.when(text.contains("<"), F.regexp_replace(text, "<[^>]+>", "")).otherwise(text)
 
 
 def clean_whitespace(text: Column) -> Column:
-    """Runs of tabs and line ends, then of spaces, as one space; stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(text, r"[\t\n\r]+", " "), " +", " "))
+    """Runs of tabs, line ends and spaces as one space; stripped. The pattern is tried only where there is one to replace."""
+    some = text.contains("  ") | text.contains("\t") | text.contains("\n") | text.contains("\r")
+    return strip(F.when(some, F.regexp_replace(text, r"[\t\n\r ]{2,}|[\t\n\r]", " ")).otherwise(text))
 
 
 def drop_controls(text: Column) -> Column:
@@ -37,9 +38,36 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def _roles() -> tuple[str, str]:
+    """Characters that form KC leaves as they are, if no neighbour joins them, and a sign for the part that each may play: m, a mark
+    that may change places with another; f and s, the first and second of a pair that becomes one character; x, both m and s; else a space.
+
+    They are of ASCII, the Latin and Indic blocks, punctuation, currency signs, arrows and symbols.
+    """
+    indic = [chr(c) for c in range(0x900, 0xE00)]
+    firsts, seconds = set(), set()
+    for c in indic:
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == c:
+            firsts.add(unicodedata.normalize("NFC", parts[:-1]))
+            seconds.add(parts[-1])
+    settled = [c for c in indic if unicodedata.normalize("NFKC", c) == c]
+    others = [c for a, b in ((0, 0x250), (0x2000, 0x2070), (0x20A0, 0x20C1), (0x2190, 0x27C0)) for c in map(chr, range(a, b)) if unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)]
+    both = firsts & (seconds | {c for c in indic if unicodedata.combining(c)})
+    role = lambda c: "f" if c in firsts else ("x" if unicodedata.combining(c) else "s") if c in seconds else "m" if unicodedata.combining(c) else " "
+    return "".join([*settled, *others]).translate(dict.fromkeys(map(ord, both))), "".join([*(role(c) for c in settled if c not in both), *" " * len(others)])
+
+
+_SETTLED, _ROLES = _roles()
+
+
 def nfkc(text: Column) -> Column:
-    """Text in normalization form KC. ASCII text, which is in it already, skips the Python worker's work."""
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    """Text in normalization form KC. Only text that it may change, which is little, goes to the Python worker.
+
+    Every character is replaced by its part in it, so that one short pattern tells: one that has none, two marks, or a pair.
+    """
+    unsettled = F.translate(text, _SETTLED, _ROLES).rlike(r"[^\x00-\x7F]|[mx]{2}|f[sx]")
+    return F.coalesce(_nfkc(F.when(unsettled, text)), text)
 
 
 def normalize_script(text: Column, lang: Column, replacements: Mapping[str, Mapping[str, str]] = REPLACEMENTS) -> Column:
@@ -62,18 +90,23 @@ def normalize_script(text: Column, lang: Column, replacements: Mapping[str, Mapp
     return out
 
 
+def letters_of(text: Column) -> Column:
+    """The letters of a text. Runs of others are taken out as a whole, which is cheaper than counting letters one by one."""
+    return F.regexp_replace(text, f"[^{LETTER}]+", "")
+
+
 def alpha_count(text: Column) -> Column:
     """Number of letters."""
-    return F.regexp_count(text, F.lit(f"[{LETTER}]"))
+    return F.length(letters_of(text))
 
 
-def script_count(text: Column, lang: Column, ranges: Mapping[str, tuple[int, int]]) -> Column:
-    """Number of letters in the script of the language; null for languages without one."""
+def script_count(letters: Column, lang: Column, ranges: Mapping[str, tuple[int, int]]) -> Column:
+    """How many of some letters are of the script of the language; null for languages without one."""
     out, alike = F.lit(None).cast("int"), {}
     for name, span in ranges.items():
         alike.setdefault(span, []).append(name)
     for (lo, hi), names in alike.items():
-        out = F.when(lang.isin(names), F.regexp_count(text, F.lit(f"[[{LETTER}]&&[\\x{{{lo:X}}}-\\x{{{hi:X}}}]]"))).otherwise(out)
+        out = F.when(lang.isin(names), F.length(F.regexp_replace(letters, f"[^\\x{{{lo:X}}}-\\x{{{hi:X}}}]+", ""))).otherwise(out)
     return out
 
 

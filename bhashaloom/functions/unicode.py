@@ -16,9 +16,13 @@ LETTER = r"\p{L}\x{0C5D}\x{0CDD}"
 ALNUM = r"\p{L}\p{M}\p{N}\x{0C5D}\x{0CDD}"
 
 
+#: The same characters one by one.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(text: Column) -> Column:
     """Text without white space at either end; null stays null."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:

@@ -10,9 +10,21 @@ from bhashaloom.functions import text as X
 from bhashaloom.functions.unicode import is_blank, strip
 
 
-def _once(frame: DataFrame, name: str, value: Column) -> DataFrame:
-    """Frame with a column that is worked out once: the optimizer would else repeat a long expression wherever it is used."""
-    return frame.select("*", F.explode(F.array(value)).alias(name))
+def _judged(frame: DataFrame, line: str, lang: str, settings: Cleaning) -> tuple[DataFrame, Column, list[str]]:
+    """Frame with the steps' columns, the cleaned line as an expression, null if the line is rejected, and those columns' names."""
+    source = F.when(~is_blank(F.col(line)), F.col(line)).otherwise(F.lit(""))
+    staged = frame.withColumn("__a", X.drop_controls(X.clean_whitespace(X.remove_html(source))))
+    if settings.clean_unicode:
+        staged = staged.withColumn("__b", X.nfkc(F.col("__a"))).withColumn("__c", X.normalize_script(F.col("__b"), F.col(lang)))
+    else:
+        staged = staged.withColumns({"__b": F.col("__a"), "__c": F.col("__a")})
+    staged = staged.withColumn("__l", X.letters_of(F.col("__c")))
+    letters, keep = F.length("__l"), F.lit(True)
+    if settings.remove_low_quality:
+        keep = X.is_quality(F.col("__c"), letters, settings.min_length, settings.max_repeats, settings.min_alpha)
+    if settings.script_filtering:
+        keep = keep & X.is_target_script(letters, X.script_count(F.col("__l"), F.col(lang), settings.script_ranges), settings.min_script)
+    return staged, F.when(keep, strip(F.col("__c"))), ["__a", "__b", "__c", "__l"]
 
 
 def clean(frame: DataFrame, line: str, lang: str, settings: Cleaning = Cleaning(), out: str = "text") -> DataFrame:
@@ -21,21 +33,18 @@ def clean(frame: DataFrame, line: str, lang: str, settings: Cleaning = Cleaning(
     The order of the steps is fixed: blank test, tags, white space, controls, Unicode and script, quality,
     script filter, strip. The filters see the text before it is stripped. Null lines are blank.
     """
-    source = F.when(~is_blank(F.col(line)), F.col(line)).otherwise(F.lit(""))
-    staged = _once(frame, "__a", X.drop_controls(X.clean_whitespace(X.remove_html(source))))
-    if settings.clean_unicode:
-        staged = staged.withColumn("__b", X.nfkc(F.col("__a")))
-        staged = _once(staged, "__c", X.normalize_script(F.col("__b"), F.col(lang)))
-    else:
-        staged = staged.withColumns({"__b": F.col("__a"), "__c": F.col("__a")})
-    counts = F.struct(X.alpha_count(F.col("__c")).alias("letters"), X.script_count(F.col("__c"), F.col(lang), settings.script_ranges).alias("own"))
-    staged = _once(staged, "__n", counts)
-    keep = F.lit(True)
-    if settings.remove_low_quality:
-        keep = X.is_quality(F.col("__c"), F.col("__n.letters"), settings.min_length, settings.max_repeats, settings.min_alpha)
-    if settings.script_filtering:
-        keep = keep & X.is_target_script(F.col("__n.letters"), F.col("__n.own"), settings.min_script)
-    return _once(staged, out, F.when(keep, strip(F.col("__c"))).otherwise(F.lit(""))).drop("__a", "__b", "__c", "__n")
+    staged, text, made = _judged(frame, line, lang, settings)
+    return staged.withColumn(out, F.coalesce(text, F.lit(""))).drop(*made)
+
+
+def kept_lines(frame: DataFrame, line: str, lang: str, settings: Cleaning = Cleaning(), out: str = "text") -> DataFrame:
+    """Frame with the cleaned line, without rejected lines and those of which nothing is left.
+
+    They are dropped by exploding none or one text: a filter would be pushed below the steps and repeat them.
+    """
+    staged, text, made = _judged(frame, line, lang, settings)
+    staged = staged.withColumn("__t", text)
+    return staged.select("*", F.explode(F.when(F.col("__t") != "", F.array("__t"))).alias(out)).drop(*made, "__t")
 
 
 def first_of_each(frame: DataFrame, lang: str, text: str, order: str) -> DataFrame:
@@ -48,7 +57,7 @@ def first_of_each(frame: DataFrame, lang: str, text: str, order: str) -> DataFra
 
 def process(frame: DataFrame, line: str, lang: str, order: str, settings: Cleaning = Cleaning()) -> DataFrame:
     """The processed corpus: (lang, order, text) of the lines that are kept."""
-    kept = clean(frame.select(order, lang, line), line, lang, settings).where("text != ''")
+    kept = kept_lines(frame.select(order, lang, line), line, lang, settings)
     if settings.deduplicate:
         return first_of_each(kept, lang, "text", order).select(lang, order, "text")
     return kept.select(lang, order, "text")

@@ -25,28 +25,51 @@ def delta(ranked: DataFrame, series: str, rank: str, value: Column) -> DataFrame
     return halo.withColumn("delta", F.col("__v") - before).where("own").select(*ranked.columns, "delta")
 
 
-def moving_average(ranked: DataFrame, series: str, rank: str, value: str, keep: float = 0.9) -> DataFrame:
+#: Rows of a block of a chunk. A chunk has a hundred blocks, so that no array is longer than about this.
+BLOCK = 100
+
+
+def moving_average(ranked: DataFrame, series: str, rank: str, value: str, keep: float = 0.9, start: int = 1) -> DataFrame:
     """(series, rank, ema): the first value starts it; then keep * before + (1 - keep) * value. Values must not be null.
 
-    A chunk is averaged from nothing, and what the chunks before have left is added, faded: the average is linear.
+    start: the rank of the first value that counts; rows before it don't come out. The average is linear: each block is averaged
+    from nothing, a block's end is carried into the next of its chunk, and a chunk's into the next chunk, which is a fold of
+    one pair of numbers for each, exact for any keep from 0 to 1.
     """
-    chunk = F.floor((F.col(rank) - 1) / CHUNK)
-    rows = ranked.select(series, rank, F.col(value).cast("double").alias("v"), chunk.alias("chunk"))
-    gathered = rows.groupBy(series, "chunk").agg(F.sort_array(F.collect_list(F.struct(rank, "v"))).alias("xs"))  # CHUNK rows at most
-    zero = F.array().cast("array<double>")
-    step = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) * keep + x["v"] * F.when(x[rank] == 1, 1.0).otherwise(1 - keep)))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("xs") - 1) / 100).cast("int")), lambda i: F.slice("xs", i * 100 + 1, 100))
-    # Blocks of a hundred keep the growing arrays short; each is linear in what came before it.
-    local = gathered.select(series, "chunk", F.posexplode(blocks).alias("block", "xs")).withColumn("es", F.aggregate("xs", zero, step))
-    order = Window.partitionBy(series).orderBy("chunk", "block")
-    ends = local.select(series, "chunk", "block", F.element_at("es", -1).alias("end"), F.size("xs").alias("n"))
-    # Before a block: the sum of earlier ends, each faded by the rows since. Blocks are a hundredth of the rows; fading is beyond double precision after 40 of them.
-    recent = order.rowsBetween(-40, -1)
-    carried = ends.withColumn("past", F.collect_list(F.struct("end", "n")).over(recent))
-    carry = F.aggregate("past", F.lit(0.0), lambda acc, x: acc * F.pow(F.lit(keep), x["n"]) + x["end"])
-    joined = local.join(carried.select(series, "chunk", "block", carry.alias("carry")), [series, "chunk", "block"])
-    out = joined.select(series, "carry", F.posexplode(F.arrays_zip(F.col("xs").alias("x"), F.col("es").alias("e"))).alias("i", "z"))
-    return out.select(series, F.col(f"z.x.{rank}").alias(rank), (F.col("z.e") + F.col("carry") * F.pow(F.lit(keep), F.col("i") + 1)).alias("ema"))
+    number = F.col(rank) - F.lit(start - 1)
+    rows = ranked.where(number >= 1).select(series, rank, F.col(value).cast("double").alias("v"), number.alias("__nth"), F.floor((number - 1) / CHUNK).alias("chunk"))
+    rows = rows.withColumn("block", F.floor(((F.col("__nth") - 1) % CHUNK) / BLOCK))
+    gathered = rows.groupBy(series, "chunk", "block").agg(F.sort_array(F.collect_list(F.struct("__nth", rank, "v"))).alias("xs"))  # BLOCK rows at most
+    step = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) * keep + x["v"] * F.when(x["__nth"] == 1, 1.0).otherwise(1 - keep)))
+    local = gathered.withColumn("es", F.aggregate("xs", F.array().cast("array<double>"), step))
+    ends = local.select(series, "chunk", "block", F.element_at("es", -1).alias("end"), F.pow(F.lit(float(keep)), F.size("xs")).alias("fade"))
+
+    def carried(table: DataFrame, group: list[str], order: str) -> DataFrame:
+        """Table with ``carry``: the average at the end of the rows before, as folded from their (end, fade)."""
+        per = table.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, "end", "fade"))).alias("all"))
+        fold = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) * x["fade"] + x["end"]))
+        sums = per.withColumn("sums", F.aggregate("all", F.array().cast("array<double>"), fold))
+        each = sums.select(*group, F.posexplode("all").alias("i", "x"), "sums")
+        return each.select(*group, F.col(f"x.{order}").alias(order), F.coalesce(F.try_element_at("sums", F.when(F.col("i") > 0, F.col("i"))), F.lit(0.0)).alias("carry"))
+
+    blocks = carried(ends, [series, "chunk"], "block")  # a hundred at most
+    whole = F.aggregate("all", F.lit(0.0), lambda acc, x: acc * x["fade"] + x["end"])
+    fades = F.aggregate("all", F.lit(1.0), lambda acc, x: acc * x["fade"])
+    chunks = ends.groupBy(series, "chunk").agg(F.sort_array(F.collect_list(F.struct("block", "end", "fade"))).alias("all")).select(series, "chunk", whole.alias("end"), fades.alias("fade"))
+    # Chunks are folded in the same way, a thousand at a time, so that 10**7 rows make one array, and the few sums of those once more.
+    groups = chunks.withColumn("big", F.floor(F.col("chunk") / 1000))
+    within = carried(groups, [series, "big"], "chunk")
+    bigs = groups.groupBy(series, "big").agg(F.sort_array(F.collect_list(F.struct("chunk", "end", "fade"))).alias("all")).select(series, "big", whole.alias("end"), fades.alias("fade"))
+    before = carried(bigs, [series], "big")
+    faded = Window.partitionBy(series, "big").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    factor = groups.withColumn("factor", F.coalesce(F.product("fade").over(faded), F.lit(1.0))).select(series, "chunk", "big", "factor")
+    carry = factor.join(within.select(series, "chunk", F.col("carry").alias("near")), [series, "chunk"]).join(before.select(series, "big", F.col("carry").alias("far")), [series, "big"])
+    carry = carry.select(series, "chunk", (F.col("near") + F.col("far") * F.col("factor")).alias("chunk_carry"))
+    # The carry of a block: what its chunk's earlier blocks left, and what the chunks before left, faded by the chunk's full blocks before it.
+    joined = local.join(blocks, [series, "chunk", "block"]).join(carry, [series, "chunk"])
+    every = F.col("carry") + F.col("chunk_carry") * F.pow(F.lit(float(keep)), F.col("block") * BLOCK)
+    out = joined.select(series, every.alias("carry"), F.posexplode(F.arrays_zip(F.col("xs").alias("x"), F.col("es").alias("e"))).alias("i", "z"))
+    return out.select(series, F.col(f"z.x.{rank}").alias(rank), (F.col("z.e") + F.col("carry") * F.pow(F.lit(float(keep)), F.col("i") + 1)).alias("ema"))
 
 
 def learning_rate(step: Column, *, base: float, least: float, warmup: int, decay: int, done: int = 0) -> Column:

@@ -10,25 +10,27 @@ from pyspark.sql import functions as F
 from bhashaloom.functions.keyed import order_key
 from bhashaloom.functions.text import shortened
 from bhashaloom.functions.unicode import is_blank, strip
-from bhashaloom.plans.ranking import digest_rank, order_bucket, with_rank
+from bhashaloom.plans.ranking import digest_rank, first_by_digest, order_bucket, with_rank
 
 
 def sample_per_group(frame: DataFrame, group: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    """k rows of each group without replacement; all rows of a smaller group."""
-    return digest_rank(frame, [group], order_key(seed, F.col(key)), [key], "__rank").where(F.col("__rank") <= k).drop("__rank")
+    """k rows of each group without replacement; all rows of a smaller group. Rows with the key of the last one all come out."""
+    return first_by_digest(frame, [group], order_key(seed, F.col(key)), key, F.lit(k), "__taken").where("__taken").drop("__taken")
 
 
 def sample_proportional(frame: DataFrame, lang: str, line: str, key: str, sizes: DataFrame, target: int, seed: int = 42) -> DataFrame:
     """Of each language floor(size / sum of sizes * target) non-blank lines, stripped, with their shuffled position.
 
     sizes: (lang, size) as declared, one row per language; languages without a row or size are left out. Fewer lines come out where
-    fewer are there.
+    fewer are there. Only the lines that are taken are ranked.
     """
     known = sizes.where("size IS NOT NULL")
     total = known.agg(F.sum("size")).first()[0] or 1  # one row
-    quotas = known.select(lang, F.floor(F.col("size") / F.lit(float(total)) * F.lit(target)).alias("quota"))
+    quotas = known.select(lang, F.floor(F.col("size") / F.lit(float(total)) * F.lit(target)).alias("__quota"))
     lines = frame.where(~is_blank(F.col(line))).join(quotas, lang)
-    ranked = digest_rank(lines, [lang], order_key(seed, F.col(key)), [key], "position").where(F.col("position") <= F.col("quota"))
+    digest = order_key(seed, F.col(key))
+    taken = first_by_digest(lines.select(lang, key, line, "__quota"), [lang, "__quota"], digest, key, F.col("__g.__quota"), "__taken").where("__taken")
+    ranked = digest_rank(taken, [lang], digest, [key], "position", digits=3 if target < 10**9 else 5)
     return ranked.select(lang, key, "position", strip(F.col(line)).alias("text"))
 
 
@@ -40,10 +42,9 @@ def head_sample(frame: DataFrame, group: str, line_no: str, line: str, key: str,
 
 def split_exact(frame: DataFrame, group: str, key: str, ratio: float, seed: int = 42) -> DataFrame:
     """Frame with ``split``: floor(n * ratio) rows of each group are test, the others train."""
-    sizes = frame.groupBy(F.col(group).alias("__g")).agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).alias("__quota"))
-    ranked = digest_rank(frame, [group], order_key(seed, F.col(key)), [key], "__rank")
-    joined = ranked.join(sizes, F.col(group).eqNullSafe(F.col("__g")))
-    return joined.select(*frame.columns, F.when(F.col("__rank") <= F.col("__quota"), "test").otherwise("train").alias("split"))
+    quota = F.floor(F.col("size") * F.lit(ratio))
+    judged = first_by_digest(frame, [group], order_key(seed, F.col(key)), key, quota, "__test")
+    return judged.select(*frame.columns, F.when(F.col("__test"), "test").otherwise("train").alias("split"))
 
 
 def shuffled(frame: DataFrame, group: Sequence[str], key: str, seed: int = 42) -> DataFrame:

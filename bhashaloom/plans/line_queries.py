@@ -50,7 +50,8 @@ def normalize_script(spark: SparkSession, folder: str) -> DataFrame:
 
 def _measured(spark: SparkSession, folder: str, ranges: dict) -> DataFrame:
     line = F.col("line")
-    return _full(_raw(spark, folder)).withColumns({"n_alpha": X.alpha_count(line), "n_script": X.script_count(line, F.col("lang"), ranges)})
+    staged = _full(_raw(spark, folder)).withColumn("letters", X.letters_of(line))
+    return staged.withColumns({"n_alpha": F.length("letters"), "n_script": X.script_count(F.col("letters"), F.col("lang"), ranges)})
 
 
 def quality_filter(spark: SparkSession, folder: str) -> DataFrame:

@@ -80,12 +80,12 @@ def context_crop(spark: SparkSession, folder: str) -> DataFrame:
 
 def shuffle_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """A new order of the train sequences of each language."""
-    return S.shuffled(_train(spark, folder).select("lang", "seq_id"), ["lang"], "seq_id")
+    return S.shuffled(_train(spark, folder).select("lang", "seq_id", "tokens"), ["lang"], "seq_id")
 
 
 def buffer_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     """The same by shuffled buffers of a hundred sequences."""
-    return S.buffer_shuffled(_train(spark, folder).select("lang", "seq_id"), "lang", "seq_id", 100)
+    return S.buffer_shuffled(_train(spark, folder).select("lang", "seq_id", "tokens"), "lang", "seq_id", 100)
 
 
 def language_weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,12 +100,12 @@ def batch_allocation(spark: SparkSession, folder: str) -> DataFrame:
 
 def mixed_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Batches of sixteen over all languages."""
-    return L.mixed_batches(_train(spark, folder).select("lang", "seq_id"), "lang", "seq_id", 16)
+    return L.mixed_batches(_train(spark, folder).select("lang", "seq_id", "tokens"), "lang", "seq_id", 16)
 
 
 def language_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Batches of sixteen of each split and language."""
-    return L.single_batches(_packed(spark, folder), ["split_name", "lang"], "seq_id", 16)
+    return L.single_batches(_packed(spark, folder).select("split_name", "lang", "seq_id", "tokens"), ["split_name", "lang"], "seq_id", 16)
 
 
 def padded_batch(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bhashaloom.config import Cleaning
-from bhashaloom.operators.clean import clean
+from bhashaloom.operators.clean import kept_lines
 
 
 def stream_lines(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -16,7 +16,7 @@ def stream_lines(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 def clean_stream(lines: DataFrame, line: str, lang: str, at: str, delay: str = "1 hour", settings: Cleaning = Cleaning()) -> DataFrame:
     """Cleaned lines of a stream, each text of a language once within the delay; later ones count as new."""
-    kept = clean(lines.withWatermark(at, delay), line, lang, settings).where("text != ''")
+    kept = kept_lines(lines.withWatermark(at, delay), line, lang, settings)
     return kept.dropDuplicatesWithinWatermark([lang, "text"]) if settings.deduplicate else kept
 
 

@@ -15,7 +15,7 @@ from bhashaloom.operators import metrics as M
 from bhashaloom.operators import sample as S
 from bhashaloom.operators import tokens as K
 from bhashaloom.operators.stats import char_frequencies, corpus_statistics, top_characters
-from bhashaloom.plans.ranking import digest_rank, order_bucket, with_rank
+from bhashaloom.plans.ranking import digest_rank, first_by_digest, order_bucket, with_rank
 from bhashaloom.plans.skew import hot_keys, salted_join
 
 
@@ -150,3 +150,22 @@ def test_subwords_round_trip(spark):
     ids = K.subword_ids(frame, "id", "text", model)
     back = {r["id"]: r["text"] for r in K.decode_subwords(ids, "id", "tokens", model).collect()}
     assert back == {1: "plain words", 2: "", 3: "", 4: rows[3][1]}
+
+
+def test_moving_average_forgets_nothing(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", 400)
+    frame = spark.range(1, 5001).select(F.lit("s").alias("series"), F.col("id").alias("step"), F.when(F.col("id") == 1, 100.0).otherwise(0.0).alias("v"))
+    for keep in (0.0, 0.5, 0.9999, 1.0):
+        got = {r["step"]: r["ema"] for r in M.moving_average(frame, "series", "step", "v", keep).collect()}
+        assert len(got) == 5000 and all(math.isclose(e, 100 * keep ** (i - 1), rel_tol=1e-9, abs_tol=1e-12) for i, e in got.items())
+    late = {r["step"]: r["ema"] for r in M.moving_average(frame.withColumn("v", F.col("step").cast("double")), "series", "step", "v", 0.5, start=5).collect()}
+    assert min(late) == 5 and late[5] == 5.0 and late[6] == 5.5 and len(late) == 4996
+
+
+def test_quotas(spark):
+    frame = spark.createDataFrame([(g, i) for g, n in (("a", 500), ("b", 3), (None, 40)) for i in range(n)], "g string, id long")
+    assert {r["g"]: r["count"] for r in S.sample_per_group(frame, "g", "id", 17).groupBy("g").count().collect()} == {"a": 17, "b": 3, None: 17}
+    digest = F.md5(F.col("id").cast("string"))
+    want = {(r["g"], r["id"]) for r in digest_rank(frame, ["g"], digest, ["id"]).collect() if r["rank"] <= 100}
+    assert {(r["g"], r["id"]) for r in first_by_digest(frame, ["g"], digest, "id", F.lit(100)).where("taken").collect()} == want
+    assert first_by_digest(frame.limit(0), ["g"], digest, "id", F.lit(100)).count() == 0
