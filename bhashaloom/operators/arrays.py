@@ -22,6 +22,11 @@ def invalid_count(values: Column) -> Column:
     return F.size(F.filter(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
+def gather(values: Column, positions: Column) -> Column:
+    """The elements at some positions, from 0, in their order; null where there is none."""
+    return F.transform(positions, lambda i: F.get(values, i))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """A value by name within an expression, so that it is worked out once for each row and not for each element."""
     return F.transform(F.array(value), body)[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,55 @@ def tokens_per_iteration(accumulation: int, world: int, batch: int, context: int
     return accumulation * world * batch * context
 
 
+def throughput(tokens: Column, seconds: Column, micro_steps: int = 1) -> Column:
+    """Tokens a second of an update of so many like steps, of which one has been timed; null for no time."""
+    return tokens / F.nullif(seconds * micro_steps, F.lit(0.0))
+
+
+def line_rate(lines: Column, seconds: Column) -> Column:
+    """Lines a second; null for no time."""
+    return lines / F.nullif(seconds.cast("double"), F.lit(0.0))
+
+
+def remaining_seconds(total: Column, done: Column, rate: Column) -> Column:
+    """Seconds until all lines are done at a rate; null without a rate."""
+    return F.greatest(total - done, F.lit(0)) / F.nullif(rate.cast("double"), F.lit(0.0))
+
+
+def gigabytes(size):
+    """Bytes as GB of 1024 cubed; for numbers and columns."""
+    return size / 1024**3
+
+
+def megabytes(size):
+    """Bytes as MB of 1024 squared; for numbers and columns."""
+    return size / 1024**2
+
+
+def extrapolated(rates: DataFrame, totals: DataFrame, lang: str, bytes_per_second: float, threads: Sequence[int] = (1, 2, 4, 8, 16)) -> DataFrame:
+    """(lang, n_lines, megabytes, kept_lines, threads, seconds): what cleaning whole files will take and leave, by the rate of one thread.
+
+    rates: (lang, share) kept of a sample; totals: (lang, n_lines, size in bytes). A thread more is taken to add as much as the first.
+    """
+    known = totals.join(rates.select(F.col(lang).alias("__lang"), "share"), F.col(lang).eqNullSafe(F.col("__lang")))
+    each = known.withColumn("threads", F.explode(F.array(*(F.lit(t).cast("bigint") for t in threads))))
+    return each.select(
+        lang, "n_lines", F.round(megabytes(F.col("size")), 6).alias("megabytes"), F.round(F.col("n_lines") * F.col("share")).cast("bigint").alias("kept_lines"), "threads",
+        F.round(F.col("size") / F.lit(float(bytes_per_second)) / F.col("threads"), 6).alias("seconds"),
+    )
+
+
+def scalar_settings(settings: Column) -> Column:
+    """Of a JSON object the entries whose value is a number, a truth value or a string, and whose name does not begin with an underscore.
+
+    A map of the values as text; null for what is no JSON object.
+    """
+    parsed = F.from_json(settings, "map<string,variant>")
+    scalar = lambda v: F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|STRING|BOOLEAN|DECIMAL.*)$")
+    kept = F.map_filter(parsed, lambda k, v: ~k.startswith("_") & F.coalesce(scalar(v), F.lit(False)))
+    return F.transform_values(kept, lambda _, v: F.variant_get(v, "$", "string"))
+
+
 def duration(seconds: Column) -> Column:
     """Seconds as hours, minutes and seconds."""
     whole = F.floor(seconds)

@@ -47,6 +47,24 @@ def subword_ids(frame: DataFrame, key: str, text: str, model: str) -> DataFrame:
     return rows.withColumnRenamed("key", key)
 
 
+def subword_pieces(frame: DataFrame, key: str, text: str, model: str) -> DataFrame:
+    """(key, tokens, pieces): ids of a SentencePiece model file and the piece of text that each stands for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        if model not in _MODELS:
+            _MODELS[model] = sentencepiece.SentencePieceProcessor(model_file=model)
+        for batch in batches:
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            ids, pieces_ = (_MODELS[model].encode(texts, out_type=kind, num_threads=1) for kind in (int, str))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.list_(pa.int32())), pa.array(pieces_, pa.list_(pa.string()))], ["key", "tokens", "pieces"])
+
+    out = T.StructType([T.StructField("key", frame.schema[key].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType(), False)), T.StructField("pieces", T.ArrayType(T.StringType(), False))])
+    rows = frame.select(F.col(key).alias("key"), strip(F.col(text)).alias("text")).mapInArrow(run, out)
+    return rows.withColumnRenamed("key", key)
+
+
 def decode_subwords(frame: DataFrame, key: str, tokens: str, model: str) -> DataFrame:
     """(key, text) of id lists of a SentencePiece model."""
 

@@ -73,9 +73,9 @@ def in_script(x: str, ranges: dict[str, tuple[int, int]]) -> str:
     return f"coalesce({alpha(x)} = 0 OR {own(x, ranges)} / {alpha(x)} > 0.6, true)"
 
 
-_FILE_LANG = "CASE file_name " + " ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in FILE_LANGUAGES.items()) + r" ELSE regexp_replace(file_name, '\.[^.]*$', '') END"
+FILE_LANG = "CASE file_name " + " ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in FILE_LANGUAGES.items()) + r" ELSE regexp_replace(file_name, '\.[^.]*$', '') END"
 _RANGES = SCRIPT_RANGES | EXTRA_SCRIPT_RANGES
-RAW = f"raw AS (SELECT line_id, file_name, line_no, line, {_FILE_LANG} AS lang FROM raw_lines)"
+RAW = f"raw AS (SELECT line_id, file_name, line_no, line, {FILE_LANG} AS lang FROM raw_lines)"
 _RAW_FULL = f"{RAW}, lines AS (SELECT * FROM raw WHERE {full('line')})"
 
 
@@ -92,10 +92,10 @@ def _nfkc_cte(source: str, column: str, target: str) -> str:
 
 
 _PIPELINE = f"""WITH {RAW},
-a AS (SELECT line_id, lang, CASE WHEN {full('line')} THEN {cleaned('line')} ELSE '' END AS c0 FROM raw),
+a AS (SELECT line_id, lang, strlen(line) AS n_bytes, CASE WHEN {full('line')} THEN {cleaned('line')} ELSE '' END AS c0 FROM raw),
 {_nfkc_cte('a', 'c0', 'b')},
-c AS (SELECT line_id, lang, {replaced('kc')} AS c FROM b),
-d AS (SELECT line_id, lang, CASE WHEN {quality('c')} AND {in_script('c', _RANGES)} THEN {strip('c')} ELSE '' END AS text FROM c)"""
+c AS (SELECT line_id, lang, n_bytes, {replaced('kc')} AS c FROM b),
+d AS (SELECT line_id, lang, n_bytes, CASE WHEN {quality('c')} AND {in_script('c', _RANGES)} THEN {strip('c')} ELSE '' END AS text FROM c)"""
 
 _TOTALS = f"""WITH lines AS (SELECT lang, line_id, line, CASE WHEN {full('line')} THEN line END AS t FROM prepared_lines),
 words AS (SELECT lang, unnest({pieces('t')}) AS w FROM lines WHERE t IS NOT NULL),
@@ -121,7 +121,7 @@ SQL = {
     "script_filter_unknown_lang": f"WITH {_RAW_FULL} SELECT lang, count(*) AS n_kept FROM lines WHERE {in_script('line', SCRIPT_RANGES)} GROUP BY lang",
     "preprocess_pipeline": f"{_PIPELINE} SELECT lang, min(line_id) AS line_id, text FROM d WHERE text <> '' GROUP BY lang, text",
     "preprocess_counters": f"{_PIPELINE} SELECT lang, count(*) AS n_read, count(DISTINCT text) FILTER (WHERE text <> '') AS n_kept, count(*) - count(DISTINCT text) FILTER (WHERE text <> '') AS n_skipped FROM d GROUP BY lang",
-    "retention_estimate": f"""{_PIPELINE} SELECT lang, count(*) AS n_sampled, count(*) FILTER (WHERE text <> '') AS n_kept, round(avg((text <> '')::INTEGER), 6) AS share
+    "retention_estimate": f"""{_PIPELINE} SELECT lang, count(*) AS n_sampled, coalesce(sum(n_bytes), 0)::BIGINT AS n_bytes, count(*) FILTER (WHERE text <> '') AS n_kept, round(avg((text <> '')::INTEGER), 6) AS share
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || line_id), line_id) AS r FROM d) WHERE r <= 1000 GROUP BY lang""",
     "dedup_lines": f"WITH {_RAW_FULL} SELECT lang, min(line_id) AS line_id, md5(text) AS digest FROM (SELECT lang, line_id, {strip('line')} AS text FROM lines) GROUP BY lang, text",
     "corpus_stats": _TOTALS,

@@ -36,6 +36,12 @@ def ema(spark: SparkSession, folder: str) -> DataFrame:
     return M.moving_average(rows, "event_type", "step", "value").select("event_type", "step", F.round("ema", 6).alias("ema"))
 
 
+def ema_late(spark: SparkSession, folder: str) -> DataFrame:
+    """Moving average that begins with the sixth value of each series and keeps nearly all of what was before."""
+    rows = _series(spark, folder).where("value IS NOT NULL")
+    return M.moving_average(rows, "event_type", "step", "value", 0.9999, start=6).select("event_type", "step", F.round("ema", 6).alias("ema"))
+
+
 def step_delta(spark: SparkSession, folder: str) -> DataFrame:
     """Microseconds since the event before of the same type."""
     return M.delta(_series(spark, folder), "event_type", "step", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", F.col("delta").alias("micros"))
@@ -95,6 +101,34 @@ def multinomial_draw(spark: SparkSession, folder: str) -> DataFrame:
     return staged.select("vec_id", A.draw(F.col("p"), uniform(42, F.col("vec_id"))).cast("bigint").alias("drawn"))
 
 
+def gather_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The tokens of each packed sequence in another order, every seventh one after the other."""
+    order = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: i * 7 % F.size("tokens"))
+    return table(spark, folder, "packed_seqs").select("seq_id", A.gather(F.col("tokens"), order).alias("tokens"))
+
+
+def shard_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of each listed shard file in MB and GB."""
+    files = table(spark, folder, "bin_files").select("file_name", "n_bytes").distinct()
+    return files.select("file_name", F.round(M.megabytes(F.col("n_bytes")), 9).alias("megabytes"), F.round(M.gigabytes(F.col("n_bytes")), 12).alias("gigabytes"))
+
+
+def token_throughput(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens a second of an update of thirty like steps, each event's value being the seconds of the last of them."""
+    tokens = F.lit(float(M.tokens_per_iteration(30, 1, 16, 1024)))
+    return table(spark, folder, "events").select("event_id", F.round(M.throughput(tokens, F.col("value"), 30), 6).alias("tokens_per_second"))
+
+
+def settings_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each event as an object the entries that are scalars and not private, as sorted names and values."""
+    made = F.named_struct(
+        F.lit("id"), F.col("event_id"), F.lit("kind"), F.col("event_type"), F.lit("_user"), F.col("user_id"), F.lit("late"), F.col("event_id") % 2 == 0,
+        F.lit("tags"), F.array("event_type"), F.lit("more"), F.struct(F.col("user_id").alias("id")),
+    )
+    kept = M.scalar_settings(F.to_json(made))
+    return table(spark, folder, "events").select("event_id", F.array_join(F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("settings"))
+
+
 def parameter_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Weights of a decoder of twelve layers."""
     return M.parameter_counts(M.parameter_shapes(spark, 12, 768, 50304, 1024))
@@ -102,7 +136,7 @@ def parameter_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (parameter_counts, rolling_mean, ema, step_delta, duration_text, lr_schedule, mfu, macro_loss, resource_summary, tensor_summary, topk_softmax, cross_entropy, multinomial_draw)
+    for f in (parameter_counts, gather_tokens, shard_sizes, token_throughput, settings_filter, rolling_mean, ema, ema_late, step_delta, duration_text, lr_schedule, mfu, macro_loss, resource_summary, tensor_summary, topk_softmax, cross_entropy, multinomial_draw)
 }
 
 _SERIES = "series AS (SELECT event_id, event_type, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events)"
@@ -117,6 +151,14 @@ round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 19 PRECEDING),
 SELECT event_type, step, value::DOUBLE AS ema FROM full_ WHERE step = 1
 UNION ALL SELECT f.event_type, f.step, e.ema * 0.9::DOUBLE + f.value * 0.1::DOUBLE FROM e JOIN full_ f ON e.event_type = f.event_type AND f.step = e.step + 1)
 SELECT event_type, step, round(ema, 6) AS ema FROM e""",
+    "ema_late": f"""WITH RECURSIVE {_SERIES}, full_ AS (SELECT * FROM series WHERE value IS NOT NULL AND step >= 6), e AS (
+SELECT event_type, step, value::DOUBLE AS ema FROM full_ WHERE step = 6
+UNION ALL SELECT f.event_type, f.step, e.ema * 0.9999::DOUBLE + f.value * (1 - 0.9999::DOUBLE) FROM e JOIN full_ f ON e.event_type = f.event_type AND f.step = e.step + 1)
+SELECT event_type, step, round(ema, 6) AS ema FROM e""",
+    "gather_tokens": "SELECT seq_id, list_transform(range(0, len(tokens)), lambda i: tokens[i * 7 % len(tokens) + 1]) AS tokens FROM packed_seqs",
+    "shard_sizes": "SELECT file_name, round(n_bytes / 1048576.0::DOUBLE, 9) AS megabytes, round(n_bytes / 1073741824.0::DOUBLE, 12) AS gigabytes FROM (SELECT DISTINCT file_name, n_bytes FROM bin_files)",
+    "token_throughput": "SELECT event_id, round(491520.0::DOUBLE / nullif(value * 30, 0), 6) AS tokens_per_second FROM events",
+    "settings_filter": "SELECT event_id, concat_ws(',', 'id=' || event_id, 'kind=' || event_type, 'late=' || (event_id % 2 = 0)::VARCHAR) AS settings FROM events",
     "step_delta": f"WITH {_SERIES} SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY step) AS micros FROM series",
     "duration_text": """SELECT event_id, (s // 3600)::VARCHAR || 'h ' || (s % 3600 // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' AS shown
 FROM (SELECT event_id, floor(value * 100)::BIGINT AS s FROM events WHERE value >= 0)""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +14,7 @@ from bhashaloom.operators import loader as L
 from bhashaloom.operators import sample as S
 from bhashaloom.operators import tokens as K
 from bhashaloom.plans.session import table
+from bhashaloom.plans.skew import ensure_checkpoint_dir
 from bhashaloom.sources.sequences import read_sequences, write_sequences
 
 #: Folder of the public vocabularies.
@@ -37,6 +36,11 @@ def _train(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder).where("split_name = 'train'")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder within the checkpoint folder that all machines share."""
+    return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def token_lines_codepoint(spark: SparkSession, folder: str) -> DataFrame:
     """Each prepared line as the code points of its characters."""
     return _prepared(spark, folder).select("line_id", K.codepoint_ids(F.col("line")).alias("tokens"))
@@ -143,11 +147,10 @@ def shard_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bin_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Test sequences written as shard files and read again: sequences and tokens by language."""
-    path = tempfile.mkdtemp(prefix="bhashaloom-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/sequences-{id(folder)}"
-    shutil.rmtree(path, ignore_errors=True)
-    write_sequences(_packed(spark, folder).where("split_name = 'test' AND lang IS NOT NULL").select("lang", "tokens"), path, "_test.bin")
-    read = read_sequences(spark, path, 1024, "_test.bin")
+    """Sequences of named languages written as shard files and read again: sequences and tokens by language."""
+    path = shared_folder(spark)
+    write_sequences(_packed(spark, folder).where("lang IS NOT NULL").select("lang", "tokens"), path, ".bin")
+    read = read_sequences(spark, path, 1024, ".bin")
     return read.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sequences"), F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t)).alias("token_sum"))
 
 
@@ -157,7 +160,7 @@ NO_LANGUAGE = "%"
 
 def bin_roundtrip_splits(spark: SparkSession, folder: str) -> DataFrame:
     """All sequences of both splits written as shard files and read again: sequences and tokens by split and language, a missing one too."""
-    path = tempfile.mkdtemp(prefix="bhashaloom-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/sequences-{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     read = []
     for split in ("train", "test"):
         some = _packed(spark, folder).where(F.col("split_name") == split)
@@ -168,11 +171,12 @@ def bin_roundtrip_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tokenizer_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten lines of each language with their subword ids, their number and tokens per character."""
+    """Ten lines of each language, shortened, with their subword ids and pieces, their number and tokens per character."""
     lines = table(spark, folder, "prepared_lines").where(~is_blank(F.col("line"))).select("lang", "line_id", "line")
     some = S.sample_per_group(lines, "lang", "line_id", 10)
-    ids = K.subword_ids(some, "line_id", "line", f"{TOKENIZERS}/piece_bpe_32k.model")
-    return some.join(ids, "line_id").select("lang", "line_id", shortened(F.col("line")).alias("shown"), "tokens", F.size("tokens").alias("n_tokens"), F.round(F.size("tokens") / F.length("line"), 6).alias("per_char"))
+    shown = some.withColumn("line", shortened(F.col("line")))
+    ids = K.subword_pieces(shown, "line_id", "line", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return shown.join(ids, "line_id").select("lang", "line_id", F.col("line").alias("shown"), "tokens", "pieces", F.size("tokens").alias("n_tokens"), F.round(F.size("tokens") / F.length("line"), 6).alias("per_char"))
 
 
 QUERIES = {

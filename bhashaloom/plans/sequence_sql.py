@@ -46,6 +46,6 @@ SELECT lang, draw, start, list_slice(every, start + 1, start + 512) AS x, list_s
     "dataset_counts": "SELECT split_name, lang, count(*) AS n_sequences, sum(len(tokens))::BIGINT AS n_tokens, count(DISTINCT file_name) AS n_files FROM packed_seqs GROUP BY split_name, lang",
     "fertility": f"WITH {_PREPARED} SELECT lang, count(*) AS n_lines, round(avg(len({pieces('line')}) / length(line)), 6) AS fertility FROM prepared GROUP BY lang",
     "shard_counts": "SELECT file_name, split_part(file_name, '_', 1) AS lang, n_bytes // 2048 AS n_sequences, n_bytes % 2048 AS rest FROM (SELECT DISTINCT file_name, n_bytes FROM bin_files)",
-    "bin_roundtrip": "SELECT lang, count(*) AS n_sequences, sum(list_sum(tokens))::BIGINT AS token_sum FROM packed_seqs WHERE split_name = 'test' AND lang IS NOT NULL GROUP BY lang",
+    "bin_roundtrip": "SELECT lang, count(*) AS n_sequences, sum(list_sum(tokens))::BIGINT AS token_sum FROM packed_seqs WHERE lang IS NOT NULL GROUP BY lang",
     "bin_roundtrip_splits": "SELECT split_name, lang, count(*) AS n_sequences, sum(list_sum(tokens))::BIGINT AS token_sum FROM packed_seqs GROUP BY split_name, lang",
 }

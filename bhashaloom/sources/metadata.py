@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bhashaloom.config import Packing
+from bhashaloom.operators.metrics import gigabytes
 
 
 def dataset_metadata(lines: DataFrame, sequences: DataFrame, lang: str, split: str, settings: Packing = Packing()) -> dict:
@@ -20,6 +21,31 @@ def dataset_metadata(lines: DataFrame, sequences: DataFrame, lang: str, split: s
     return out
 
 
+def by_language(files: dict[str, list[str]]) -> dict[str, dict[str, list[str]]]:
+    """File names of each split by the language that their names begin with."""
+    out: dict[str, dict[str, list[str]]] = {}
+    for split, names in files.items():
+        out[split] = {}
+        for name in names:
+            out[split].setdefault(name.split("_")[0], []).append(name)
+    return out
+
+
+def machine_specs(spark: SparkSession) -> dict:
+    """What the session runs on: tasks at a time, executors, and the memory of each, in GB."""
+    context = spark.sparkContext
+    memory = context._jsc.sc().getExecutorMemoryStatus()
+    each, most = memory.valuesIterator(), []
+    while each.hasNext():
+        most.append(each.next()._1())
+    return {"vcpus": context.defaultParallelism, "workers": max(1, len(most) - 1), "memory_gb": round(gigabytes(sum(most)), 3)}
+
+
+def processing_stats(lines: int, seconds: float) -> dict:
+    """Time, lines and lines a second of a job."""
+    return {"total_time_seconds": seconds, "lines_processed": lines, "lines_per_second": lines / seconds if seconds > 0 else 0.0}
+
+
 def write_metadata(spark: SparkSession, metadata: dict, path: str) -> None:
     """One JSON document in a folder."""
     spark.createDataFrame([(json.dumps(metadata, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

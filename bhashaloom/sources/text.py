@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from bhashaloom.config import FILE_LANGUAGES
 from bhashaloom.functions.text import language_of_file
+from bhashaloom.logs import logger
 
 
 @F.pandas_udf(T.StringType())
@@ -21,81 +17,53 @@ def _lossy(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
-def read_lines(spark: SparkSession, path: str, pattern: str = "*.txt", line_separator: str | None = None) -> DataFrame:
-    """(file_name, lang, line) of the text files of a folder, or of one file.
+def _readable(value: Column) -> Column:
+    """Text without the bytes that are not UTF-8; only lines that hold some pass through Python."""
+    return F.coalesce(_lossy(F.when(~F.is_valid_utf8(value), value.cast("binary"))), value)
 
-    Lines end at a line feed, a carriage return or both, unless a separator is given. Bytes that are not UTF-8 are left
-    out; only lines that hold some pass through Python. An empty folder gives no rows.
-    """
+
+def _raw_lines(spark: SparkSession, path: str, pattern: str, line_separator: str | None = None) -> DataFrame:
+    """(file_path, file_name, start, value): lines with the file and the first byte of the part of it that a task reads."""
     reader = spark.read.option("pathGlobFilter", pattern)
     if line_separator is not None:
         reader = reader.option("lineSep", line_separator)
-    rows = reader.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("value"))
-    valid = F.is_valid_utf8(F.col("value"))
-    line = F.coalesce(_lossy(F.when(~valid, F.col("value").cast("binary"))), F.col("value"))
-    return rows.select("file_name", language_of_file(F.col("file_name"), FILE_LANGUAGES).alias("lang"), line.alias("line"))
+    meta = F.col("_metadata")
+    return reader.text(path).select(meta["file_path"].alias("file_path"), meta["file_name"].alias("file_name"), meta["file_block_start"].alias("start"), F.col("value"))
 
 
-#: Bytes of a file that one task reads.
-RANGE_BYTES = 64 << 20
-
-
-class OffsetLines(DataSource):
-    """Format "offset_lines": lines ended by line feeds, with the byte at which each begins. Option: path, suffix (".txt").
+def read_lines(spark: SparkSession, path: str, pattern: str = "*.txt", line_separator: str | None = None) -> DataFrame:
+    """(file_name, lang, line) of the text files of a folder, or of one file.
 
-    A file is read in ranges by several tasks; a line belongs to the range in which it begins.
+    Lines end at a line feed, a carriage return or both, unless a separator is given. Bytes that are not UTF-8 are left
+    out; only lines that hold some pass through Python. An empty folder gives no rows.
     """
+    rows = _raw_lines(spark, path, pattern, line_separator)
+    return rows.select("file_name", language_of_file(F.col("file_name"), FILE_LANGUAGES).alias("lang"), _readable(F.col("value")).alias("line"))
 
-    @classmethod
-    def name(cls) -> str:
-        return "offset_lines"
-
-    def schema(self) -> str:
-        return "file_name string, offset bigint, line string"
 
-    def reader(self, schema) -> DataSourceReader:
-        return _OffsetReader(self.options)
+def read_numbered(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+    """(file_name, lang, place, line): read_lines with a number that rises along a file, on any file system that Spark reads.
 
-
-class _Bytes(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        super().__init__(0)
-        self.path, self.start, self.end = path, start, end
-
-
-class _OffsetReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.suffix, self.size = options["path"], options.get("suffix", ".txt"), int(options.get("range_bytes", RANGE_BYTES))
-
-    def partitions(self) -> list[InputPartition]:
-        files = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(self.path, f) for f in os.listdir(self.path) if f.endswith(self.suffix))
-        return [_Bytes(f, a, a + self.size) for f in files for a in range(0, os.path.getsize(f), self.size)] or [_Bytes("", 0, 0)]
-
-    def read(self, part: _Bytes) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
-        name, offsets, lines = os.path.basename(part.path), [], []
-        with open(part.path, "rb") as f:
-            f.seek(max(0, part.start - 1))
-            if part.start:
-                f.readline()  # the rest of a line of the range before, or only the line feed before this range
-            while (at := f.tell()) < part.end and (line := f.readline()):
-                offsets.append(at)
-                lines.append(line.rstrip(b"\n").decode("utf-8", "ignore"))
-                if len(lines) == 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(offsets, pa.int64()), pa.array(lines, pa.string())], ["file_name", "offset", "line"])
-                    offsets, lines = [], []
-        if lines:
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(offsets, pa.int64()), pa.array(lines, pa.string())], ["file_name", "offset", "line"])
+    A line is no shorter than its end, so that the first byte of its part of the file and the rows read before it make places that
+    rise within the part, and from part to part, as parts of a file that has several are read by a task of their own.
+    """
+    rows = _raw_lines(spark, path, pattern).withColumn("place", F.col("start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return rows.select("file_name", language_of_file(F.col("file_name"), FILE_LANGUAGES).alias("lang"), "place", _readable(F.col("value")).alias("line"))
 
 
-def line_offsets(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(file_name, offset, line): the byte at which each line begins names it and gives its place in the file.
+def line_offsets(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+    """(file_name, offset, line): the byte at which each line begins names it and gives its place in the file. Only line feeds end lines.
 
-    The folder must be one that all workers reach.
+    Sizes of lines are summed up within each part of a file that a task reads, and sizes of parts over the file.
     """
-    spark.dataSource.register(OffsetLines)
-    return spark.read.format("offset_lines").option("path", path).option("range_bytes", range_bytes).load()
+    rows = _raw_lines(spark, path, pattern, "\n").withColumns({"__row": F.monotonically_increasing_id(), "__bytes": F.octet_length("value").cast("bigint") + 1})
+    within = Window.partitionBy("file_path", "start").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("__path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(F.col("file_path").alias("__path"), F.col("start").alias("__start")).agg(F.sum("__bytes").alias("__size"))
+    parts = parts.select("__path", "__start", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))  # a row for each part of a file
+    placed = rows.withColumn("__within", F.coalesce(F.sum("__bytes").over(within), F.lit(0)))
+    joined = placed.join(parts, (F.col("file_path") == F.col("__path")) & (F.col("start") == F.col("__start")))
+    return joined.select("file_name", (F.col("__before") + F.col("__within")).alias("offset"), _readable(F.col("value")).alias("line"))
 
 
 def lines_at(lines: DataFrame, index: DataFrame) -> DataFrame:
@@ -113,6 +81,20 @@ def existing(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str
     return there, missing
 
 
+def require(spark: SparkSession, paths: list[str]) -> None:
+    """Fails unless all paths are there."""
+    if missing := existing(spark, paths)[1]:
+        raise FileNotFoundError(", ".join(missing))
+
+
+def present(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that are there; of each other one a warning is logged."""
+    there, missing = existing(spark, paths)
+    for path in missing:
+        logger(__name__).warning("left out, as it is not there: %s", path)
+    return there
+
+
 def write_lines(frame: DataFrame, text: str, path: str, by: str | None = None) -> None:
     """One line of text per row, in folders by a column if one is named. The job's commit makes the files appear at once."""
     if by is None:
@@ -121,8 +103,16 @@ def write_lines(frame: DataFrame, text: str, path: str, by: str | None = None) -
         frame.select(by, text).write.mode("overwrite").partitionBy(by).text(path)
 
 
-def statistics_report(statistics: DataFrame, lang: str) -> DataFrame:
-    """(lang, report): the statistics of a language as lines of text, with thousands separated."""
+def shown_character(ch: Column) -> Column:
+    """A character between quotation marks; line ends, tabs and spaces by their code points."""
+    return F.concat(F.lit("'"), F.when(ch.isin("\n", "\t", "\r", " "), F.ascii(ch).cast("string")).otherwise(ch), F.lit("'"))
+
+
+def statistics_report(statistics: DataFrame, lang: str, characters: DataFrame | None = None) -> DataFrame:
+    """(lang, report): the statistics of a language as lines of text, with thousands separated, and its most frequent characters.
+
+    characters: (lang, place, ch, cnt) as top_characters gives them.
+    """
     count = lambda c: F.format_number(F.col(c), 0)
     mean = lambda c: F.format_number(F.col(c), 2)
     lines = [
@@ -130,4 +120,10 @@ def statistics_report(statistics: DataFrame, lang: str) -> DataFrame:
         F.concat(F.lit("Characters: "), count("char_count")), F.concat(F.lit("Vocabulary: "), count("vocab_size")), F.concat(F.lit("Distinct characters: "), count("unique_chars")),
         F.concat(F.lit("Mean word length: "), mean("avg_word_length")), F.concat(F.lit("Mean sentence length: "), mean("avg_sentence_length")),
     ]
-    return statistics.select(lang, F.concat_ws("\n", *lines).alias("report"))
+    if characters is None:
+        return statistics.select(lang, F.concat_ws("\n", *lines).alias("report"))
+    row = F.concat(shown_character(F.col("ch")), F.lit(": "), F.format_number("cnt", 0))
+    listed = characters.groupBy(F.col(lang).alias("__lang")).agg(F.sort_array(F.collect_list(F.struct("place", row.alias("row")))).alias("__rows"))  # a few characters of each language
+    joined = statistics.join(listed, F.col(lang).eqNullSafe(F.col("__lang")), "left")
+    more = F.transform(F.coalesce("__rows", F.array().cast("array<struct<place:bigint,row:string>>")), lambda x: F.concat(F.lit("  "), x["row"]))
+    return joined.select(lang, F.concat_ws("\n", *lines, F.lit("Most frequent characters:"), F.array_join(more, "\n")).alias("report"))

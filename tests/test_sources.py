@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bhashaloom.logs import log_to, logger
 from bhashaloom.operators.stats import corpus_statistics
+from bhashaloom.plans.loading import Loader
 from bhashaloom.sources import metadata as D
 from bhashaloom.sources import sequences as Q
 from bhashaloom.sources import text as T
@@ -24,12 +26,61 @@ def test_lossy_lines(spark, tmp_path):
 def test_offsets(spark, tmp_path, size):
     content = "a\n\nbकc\nlast".encode()
     (tmp_path / "x.txt").write_bytes(content)
-    got = sorted((r["offset"], r["line"]) for r in T.line_offsets(spark, str(tmp_path), size).collect())
-    assert got == [(0, "a"), (2, ""), (3, "bकc"), (9, "last")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        got = sorted((r["offset"], r["line"]) for r in T.line_offsets(spark, str(tmp_path)).collect())
+        places = [r["line"] for r in T.read_numbered(spark, str(tmp_path)).orderBy("place").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(0, "a"), (2, ""), (3, "bकc"), (9, "last")] and places == [x for _, x in got]
     some = spark.createDataFrame([("x.txt", 3), ("x.txt", 3)], "file_name string, offset long")
     assert [r["line"] for r in T.lines_at(T.line_offsets(spark, str(tmp_path)), some).collect()] == ["bकc"]
 
 
+def test_missing_inputs(spark, tmp_path, caplog):
+    there = str(tmp_path)
+    T.require(spark, [there])
+    with pytest.raises(FileNotFoundError):
+        T.require(spark, [there, f"{there}/none"])
+    assert T.present(spark, [there, f"{there}/none"]) == [there] and "none" in caplog.text
+    (tmp_path / "hindi_0_train.bin").write_bytes(bytes(16))
+    assert Q.read_sequences(spark, there, 4, "_train.bin", "hin").count() == 2
+    with pytest.raises(ValueError):
+        Q.read_sequences(spark, there, 4, "_train.bin", "odia")
+
+
+def test_logs(tmp_path):
+    log_to(str(tmp_path / "run.log"), console=False)
+    logger("test").info("a line")
+    log_to(None, console=False)
+    assert "bhashaloom.test - INFO - a line" in (tmp_path / "run.log").read_text()
+
+
+def test_loader(spark):
+    rows = [(s, g, i, [i]) for s, n in (("train", 5), ("test", 3)) for g in ("a", "b") for i in range(n)]
+    frame = spark.createDataFrame(rows, "split_name string, lang string, seq_id long, tokens array<int>")
+    loader = Loader(frame, 2)
+    assert loader.languages() == ["a", "b"] and len(loader) == 5
+    ids = lambda f: [r["seq_id"] for r in f.orderBy("slot").collect()]
+    assert ids(loader.language_batch("a")) == [0, 1]
+    loader.switch_mode("test")
+    assert ids(loader.language_batch("a")) == [0, 1] and len(loader) == 3
+    state = loader.state()
+    loader.switch_mode("train")
+    assert [ids(loader.language_batch("a")) for _ in range(3)] == [[2, 3], [4], [0, 1]]
+    with pytest.raises(ValueError):
+        loader.language_batch("c")
+    with pytest.raises(ValueError):
+        loader.batch_of("none")
+    assert loader.mode == "train" and loader.next_batch().count() == 2 and loader.batch_of("test").count() == 2 and loader.mode == "train" and loader.position == 2
+    again = Loader(frame, 2)
+    again.resume(state)
+    assert again.mode == "test" and ids(again.language_batch("a")) == [2]
+    again.position = 3
+    with pytest.raises(StopIteration):
+        again.next_batch()
+
+
 def test_existing_and_writing(spark, tmp_path):
     frame = spark.createDataFrame([("a", "one"), ("b", "two")], "lang string, text string")
     T.write_lines(frame, "text", str(tmp_path / "out"), "lang")
