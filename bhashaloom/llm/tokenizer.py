@@ -38,9 +38,9 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library with its chunk table; one per worker."""
+    """A tokenizer of the tokenizers library with its chunk table, bounded by chunks and characters; one per worker."""
 
-    def __init__(self, path: str, max_chunks: int = 200_000, max_chunk_chars: int = 64):
+    def __init__(self, path: str, max_chunks: int = 200_000, max_chars: int = 20_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,7 +49,7 @@ class Encoder:
         before = kind.get("pre_tokenizer") or {}
         self.byte_level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
         self.chunked = self.byte_level and before.get("use_regex", True) and not kind.get("normalizer")
-        self.max_chunks, self.max_chunk_chars = max_chunks, max_chunk_chars
+        self.max_chunks, self.max_chars = max_chunks, max_chars
         self._reset()
 
     def _reset(self) -> None:
@@ -57,7 +57,7 @@ class Encoder:
         self.length = np.zeros(1024, np.int64)
         self.start = np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.int32)
-        self.used = 0
+        self.used = self.chars = 0
 
     def _add(self, chunks: list[str]) -> None:
         """Puts chunks that the table lacks into it."""
@@ -72,11 +72,12 @@ class Encoder:
         self.start[first : first + len(ids)] = self.used + np.cumsum(n) - n
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        self.chars += sum(map(len, chunks))
         self.index.update(zip(chunks, range(first, first + len(chunks)), strict=True))
 
     def _codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Table positions of all chunks, and how many each text has."""
-        if len(self.index) > self.max_chunks:
+        if len(self.index) > self.max_chunks or self.chars > self.max_chars:
             self._reset()
         chunks = [_CHUNK.findall(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
