@@ -1,14 +1,14 @@
 """A uniform sample of fixed size from rows that arrive in pieces (problem 1).
 
-Rows fall into leaves, a fixed number of them however many rows come: a piece's hash gives the branch, a key's
-hash the leaf within it, so that a piece of any size is spread over many leaves. The leaves are counted once all
+Rows fall into leaves: a piece's hash gives the branch, a key's hash the leaf within it, so that a piece of any size is
+spread over many leaves, more of them the more rows have come. The leaves are counted once all
 pieces are there; k is split down the tree of leaves by hypergeometric draws; and each leaf is read in the order of
 its keys and sampled one row after the other with its exact quota. No leaf needs to fit into memory.
 """
 
 from __future__ import annotations
 
-import random
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,22 +17,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Branches of the tree by piece, and leaves of each branch by key.
-BRANCHES, LEAVES = 64, 32
+#: Branches of the tree by piece, fewest and most leaves of each branch by key, and rows of a leaf, about, were all rows of one piece.
+BRANCHES, LEAVES, MOST_LEAVES, LEAF_ROWS = 64, 32, 1 << 14, 1_000_000
 #: A chosen key table of at most so many rows is broadcast, as k bounds it; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
 
 def hypergeometric(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
-    """How many of so many draws without replacement are good. Exact for populations of any size."""
+    """How many of so many draws without replacement are good, for populations of any size.
+
+    Large ones are drawn by inversion: weights around the mode follow from the ratio of neighbouring probabilities, which is a
+    simple fraction, out to fourteen deviations, beyond which less than double precision can tell is left. So memory grows with the root of the draws.
+    """
     if good == 0 or bad == 0 or draws == 0:
         return draws if bad == 0 else 0
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, draws))
-    if draws > (good + bad) // 2:
+    if 2 * draws > good + bad:
         return good - hypergeometric(good, bad, good + bad - draws, rng)
-    ranks = random.Random(int(rng.integers(2**62))).sample(range(good + bad), draws)
-    return sum(r < good for r in ranks)
+    total = good + bad
+    mode = (draws + 1) * (good + 1) // (total + 2)
+    wide = 14 * math.isqrt(draws * good // total * bad // total + 1) + 50
+    low, high = max(0, draws - bad, mode - wide), min(good, draws, mode + wide)
+    x = np.arange(low, high, dtype=np.float64)  # the ratio of x + 1 to x
+    ratio = np.log(good - x) + np.log(draws - x) - np.log(x + 1) - np.log(float(bad - draws) + x + 1)
+    weights = np.concatenate([[0.0], np.cumsum(ratio)])
+    weights = np.cumsum(np.exp(weights - weights.max()))
+    return low + int(np.searchsorted(weights, rng.random() * weights[-1], side="right"))
 
 
 def split_quota(counts: Sequence[int], k: int, rng: np.random.Generator) -> list[int]:
@@ -68,9 +79,17 @@ def select_in_order(rows: int, left: int, quota: int, rng: np.random.Generator)
     return chosen
 
 
-def _leaf(piece: str, key: Sequence[str], seed: int):
+def leaves_for(rows: int) -> int:
+    """Leaves of each branch for a table of so many rows."""
+    leaves = LEAVES
+    while leaves < MOST_LEAVES and leaves * LEAF_ROWS < rows:
+        leaves *= 2
+    return leaves
+
+
+def _leaf(piece: str, key: Sequence[str], seed: int, leaves: int):
     branch = F.pmod(F.xxhash64(F.lit(seed), F.col(piece)), F.lit(BRANCHES))
-    return (branch * LEAVES + F.pmod(F.xxhash64(F.lit(seed + 1), *key), F.lit(LEAVES))).cast("int")
+    return (branch * leaves + F.pmod(F.xxhash64(F.lit(seed + 1), *key), F.lit(leaves))).cast("int")
 
 
 def fixed_size_sample(frame: DataFrame, k: int, piece: str, key: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
@@ -88,13 +107,14 @@ def fixed_size_sample(frame: DataFrame, k: int, piece: str, key: Sequence[str] |
         raise ValueError("a sample can't have fewer than no rows")
     unique = key is not None
     names = list(key) if unique else list(frame.columns)
-    keyed = frame.select(_leaf(piece, names, seed).alias("__leaf"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(names)))
+    leaves = leaves_for(frame.count())  # reads no column
+    keyed = frame.select(_leaf(piece, names, seed, leaves).alias("__leaf"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(names)))
     if not unique:  # two hashes stand for all columns
         ks = [f"__k{i}" for i in range(len(names))]
         keyed = keyed.select("__leaf", F.xxhash64(F.lit(seed), *ks).alias("__k0"), F.xxhash64(F.lit(seed + 7), *ks).alias("__k1"))
     keys = [c for c in keyed.columns if c != "__leaf"]
 
-    counts = {r["__leaf"]: r["n"] for r in keyed.groupBy("__leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most BRANCHES * LEAVES rows
+    counts = {r["__leaf"]: r["n"] for r in keyed.groupBy("__leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most BRANCHES * MOST_LEAVES rows
     order = sorted(counts)
     quotas = dict(zip(order, split_quota([counts[x] for x in order], k, np.random.default_rng(seed)), strict=True))
 

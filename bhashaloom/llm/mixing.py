@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bhashaloom.plans.skew import salted_join
+from bhashaloom.plans.skew import hot_keys, salted_join
 
 #: Rows of a bucket, about; a bucket is sorted by one task.
 BUCKET_ROWS = 100_000
@@ -75,14 +75,15 @@ def mix(frame: DataFrame, targets: DataFrame, columns: Columns = Columns(), tota
 
     A row is used floor or ceil of its source's expected copies, never more often than the cap. The order within a source is
     by a hash of the row, then the key; repeated keys and rows are rows of their own. Rows of unwanted sources don't come out.
-    The same rows and seed give the same mixture. Only the columns that are selected of the result are shuffled.
+    The same rows and seed give the same mixture. Rows are shuffled once, by bucket, for the sums and the ranks alike.
     """
     rates = plan(frame, targets, columns, total, size).where("copies > 0").select(F.col("source").alias("__source"), F.col("n_rows").alias("__rows"), F.col("copies").alias("__copies"))
     rows = frame.withColumn("__source", F.col(columns.source))
     if targets.count() <= BROADCAST_TARGETS:
         rated = rows.join(F.broadcast(rates), "__source")
     else:
-        rated = salted_join(rows, rates, ["__source"], rates.where(F.col("__rows") > BUCKET_ROWS).orderBy(F.desc("__rows"), "__source").select("__source").limit(10_000), [columns.key])
+        every = rates.agg(F.sum("__rows")).first()[0] or 0  # one row
+        rated = salted_join(rows, rates, ["__source"], hot_keys(rates, ["__source"], "__rows", every), [columns.key])
     buckets = F.ceil(F.col("__rows") / F.lit(BUCKET_ROWS)).cast("long")
     place = F.xxhash64(F.lit(seed), *(c for c, kind in frame.dtypes if not kind.startswith(("map", "variant"))))  # null and repeated keys are spread by the other columns
     rated = rated.withColumns({"__place": place, "__bucket": F.pmod(place, buckets)})

@@ -24,18 +24,28 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_report(lines, fixed_size_sample(lines, 1000, "piece_no", ["line_id"], seed=7), "piece_no")
 
 
+def p1_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """Of a sample of 2000 lines: its rows, how many differ, and how many are lines of the table."""
+    lines = table(spark, folder, "raw_lines")
+    drawn = fixed_size_sample(lines, 2000, "piece_no", ["line_id"], seed=11)
+    there = lines.select("line_id", F.xxhash64("line").alias("there"), F.lit(True).alias("known"))
+    return drawn.join(there, "line_id", "left").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("line_id").alias("n_lines"), F.count_if(F.col("known") & F.xxhash64("line").eqNullSafe(F.col("there"))).alias("n_known")
+    )
+
+
 def _train(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "packed_seqs").where("split_name = 'train'").drop("tokens")
+    return table(spark, folder, "packed_seqs").where("split_name = 'train'")
 
 
 def p3_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    """The train sequences that the mixture uses, a row for each use."""
+    """The train sequences that the mixture uses with their tokens, a row for each use."""
     return mix(_train(spark, folder), table(spark, folder, "mix_targets"))
 
 
 def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Wanted, target and reached share of each language."""
-    rows, targets = _train(spark, folder), table(spark, folder, "mix_targets")
+    rows, targets = _train(spark, folder).drop("tokens"), table(spark, folder, "mix_targets")
     return shares(mix(rows, targets), plan(rows, targets)).withColumnRenamed("source", "lang")
 
 
@@ -49,9 +59,10 @@ def p3_shards(spark: SparkSession, folder: str) -> DataFrame:
     return both.withColumn("agree", F.coalesce((F.col("stated") == F.col("held")) & (F.col("by_size") == F.col("held")), F.lit(False)))
 
 
-QUERIES = {"p1_sample": p1_sample, "p1_pieces": p1_pieces, "p3_mixture": p3_mixture, "p3_shares": p3_shares, "p3_shards": p3_shards}
+QUERIES = {"p1_sample": p1_sample, "p1_pieces": p1_pieces, "p1_valid": p1_valid, "p3_mixture": p3_mixture, "p3_shares": p3_shares, "p3_shards": p3_shards}
 
 SQL = {
+    "p1_valid": "SELECT least(2000, count(*)) AS n_rows, least(2000, count(DISTINCT line_id)) AS n_lines, least(2000, count(*)) AS n_known FROM raw_lines",
     "p3_shares": """
 WITH wanted AS (
   SELECT lang, max(train_weights) AS weight, floor(min(max_repeats)) AS cap FROM mix_targets

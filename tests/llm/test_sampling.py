@@ -111,3 +111,13 @@ def test_mixture_of_buckets_and_nothing(spark, monkeypatch):
     assert M.mix(sources(spark), targets.limit(0)).count() == 0
     twice = sources(spark).unionByName(sources(spark)).withColumn("copies", F.lit(7)).withColumn("n_rows", F.lit(None).cast("int"))
     assert M.mix(twice, targets).count() == 1800
+
+
+def test_large_populations():
+    rng = np.random.default_rng(3)
+    drawn = np.array([S.hypergeometric(3 * 10**11, 7 * 10**11, 10**6, rng) for _ in range(300)])
+    assert abs(drawn.mean() - 300_000) < 4 * (10**6 * 0.21 / 300) ** 0.5 and 0.8 < drawn.std() / (10**6 * 0.21) ** 0.5 < 1.2
+    few = [S.hypergeometric(10**9, 10**9, 3, rng) for _ in range(4000)]
+    assert all(abs(few.count(x) / 4000 - p) < 0.03 for x, p in enumerate((0.125, 0.375, 0.375, 0.125)))
+    assert S.hypergeometric(10**9, 1, 10**9 + 1, rng) == 10**9 and S.hypergeometric(10**12, 5, 10**12 + 2, rng) in range(10**12 - 3, 10**12 + 1)
+    assert S.leaves_for(10**5) == 32 and S.leaves_for(10**10) == 1 << 14 and sum(S.split_quota([10**11, 2 * 10**11], 10**9, rng)) == 10**9
