@@ -104,8 +104,9 @@ def with_fields(frame: DataFrame, line: str, pairs: str = "pairs") -> DataFrame:
         F.when(F.col("__json").isNull() & F.col("__form").rlike("[|;]"), F.filter(F.split("__form", F.when(F.col("__form").contains("|"), F.lit(r"\|")).otherwise(F.lit(";"))), has_text)),
     )
     found = F.arrays_zip(*(F.regexp_extract_all("__json", F.lit(_JSON_PAIR), F.lit(i)).alias(f"g{i}") for i in (1, 2)))
-    # Nearly all objects are flat; only others go to Python.
-    staged = staged.withColumn("__more", F.coalesce(F.regexp_replace("__json", _JSON_PAIR, "").rlike(_JSON_MORE), F.lit(False)))
+    # Nearly all objects are flat and without escapes; only others go to Python.
+    more = F.col("__json").contains("\\") | F.regexp_replace("__json", _JSON_PAIR, "").rlike(_JSON_MORE)
+    staged = staged.withColumn("__more", F.coalesce(more, F.lit(False)))
     staged = staged.withColumn("__nested", _nested(F.when(F.col("__more"), F.col("__json"))))
     path = lambda names: F.array_join(F.transform(names, letters_and_digits), _WITHIN)
     leaves = F.transform("__nested", lambda x: F.concat(path(x["path"]), F.lit(_END), letters_and_digits(x["value"])))
@@ -133,9 +134,15 @@ def fingerprint(pairs: Column) -> tuple[Column, Column]:
 
 
 def same_pairs(a: Column, b: Column) -> Column:
-    """True if two arrays hold the same strings equally often, found by counting and not by sorting."""
+    """True if two arrays hold the same strings equally often, found by hashing and counting and not by sorting.
+
+    Arrays of the same size are the same where none of the strings of one, which are all different, is missing in the other;
+    only repeated strings have to be counted.
+    """
     count = lambda x, all_: F.size(F.filter(all_, lambda y: y == x))
-    return (F.size(a) == F.size(b)) & ((a == b) | F.forall(a, lambda x: count(x, a) == count(x, b)))
+    different = F.size(F.array_distinct(a)) == F.size(a)
+    counted = F.forall(F.array_distinct(a), lambda x: count(x, a) == count(x, b))
+    return (F.size(a) == F.size(b)) & ((a == b) | ((F.size(F.array_except(a, b)) == 0) & (different | counted)))
 
 
 def _hashed(frame: DataFrame, key: str, line: str) -> DataFrame:
@@ -155,23 +162,38 @@ def format_duplicates(frame: DataFrame, key: str, line: str) -> DataFrame:
     Other columns do not matter. A group may hold any share of the rows: groups are formed by partial sums, the
     rows of large groups are spread over many tasks when their first line joins them, and no group is gathered.
     """
+    return _verified(frame, key, line)[0]
+
+
+#: Lines of groups, of two numbers each, that are broadcast at most, 32 MB; more of them are joined by a shuffle.
+BROADCAST_MEMBERS = 2_000_000
+
+
+def _verified(frame: DataFrame, key: str, line: str) -> tuple[DataFrame, DataFrame]:
+    """(keep_id, dup_id) of the lines that repeat a record, and (id, h1, h2) of all lines with one."""
     rows = frame.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(line).alias("line"))
     hashed = checkpointed(_hashed(rows, "id", "line"))
     groups = _groups(hashed).where("copies > 1")
     hot = hot_keys(groups, ["h1", "h2"], "copies", hashed.count())
     members = salted_join(hashed, groups.select("h1", "h2", "keep_id"), ["h1", "h2"], hot, ["id"]).select("id", "keep_id")
-    # Only now are lines read again, and only those of the groups are taken apart.
-    texts = with_fields(rows.join(members.dropDuplicates(["id"]), "id").select("id", "keep_id", "line"), "line").drop("line")
+    members = checkpointed(members.dropDuplicates(["id"]))
+    wanted = F.broadcast(members) if members.count() <= BROADCAST_MEMBERS else members
+    # Only now are lines read again, and only those of the groups are taken apart and shuffled.
+    texts = with_fields(rows.join(wanted, "id").select("id", "keep_id", "line"), "line").drop("line")
     first = texts.where("id = keep_id").dropDuplicates(["keep_id"]).select("keep_id", F.col("pairs").alias("kept"))
-    hot_first = groups.join(F.broadcast(hot), ["h1", "h2"], "left_semi").select("keep_id")
+    hot_first = groups.join(F.broadcast(hot), ["h1", "h2"], "left_semi").select("keep_id", F.col("copies").alias("__rows"))
     checked = salted_join(texts.where("id != keep_id"), first, ["keep_id"], hot_first, ["id"])
-    return checked.where(same_pairs(F.col("pairs"), F.col("kept"))).select("keep_id", F.col("id").alias("dup_id")).distinct()
+    return checked.where(same_pairs(F.col("pairs"), F.col("kept"))).select("keep_id", F.col("id").alias("dup_id")).distinct(), hashed
 
 
 def collapsed(frame: DataFrame, key: str, line: str) -> DataFrame:
-    """Rows of (keep_id, copies): each record once, by its smallest id, with the number of its lines.
+    """Rows of (keep_id, copies): each record once, by its smallest id, with the number of its lines, itself included.
 
-    Lines without letters and digits and null lines are no records and come out nowhere.
+    Copies are those that format_duplicates has verified; a line that shares a fingerprint with others by chance is a record of its
+    own. A repeated id is one line. Lines without letters and digits and null lines are no records and come out nowhere.
     """
-    rows = frame.where(F.col(key).isNotNull())
-    return _groups(_hashed(rows, key, line)).select("keep_id", "copies")
+    copies, hashed = _verified(frame, key, line)
+    copies = checkpointed(copies)
+    counted = copies.groupBy("keep_id").agg(F.count(F.lit(1)).alias("more"))
+    records = hashed.select(F.col("id").alias("keep_id")).distinct().join(copies.select(F.col("dup_id").alias("keep_id")), "keep_id", "left_anti")
+    return records.join(counted, "keep_id", "left").select("keep_id", (F.coalesce("more", F.lit(0)) + 1).alias("copies"))

@@ -46,3 +46,13 @@ def test_records(spark):
 def test_every_letter_is_in_some_pair(spark, line):
     pairs = D.with_fields(spark.createDataFrame([(line,)], "line string"), "line").first()["pairs"]
     assert all(c in "".join(pairs) for c in line.lower() if c.isalnum())
+
+
+def test_escapes_and_repeated_fields(spark):
+    lines = [
+        '{"name": "\\u0905\\u092c", "note": "one\\ntwo"}', '{"note": "one two", "name": "अब"}', '{"a": "x", "b": "y", "a": "x"}', '{"b": "y", "a": "x", "a": "x"}',
+        '{"a": "x", "b": "y", "b": "y"}',
+    ]
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    assert sorted(map(tuple, D.format_duplicates(frame, "id", "line").collect())) == [(0, 1), (2, 3)]
+    assert sorted(map(tuple, D.collapsed(frame, "id", "line").collect())) == [(0, 2), (2, 2), (4, 1)]
