@@ -4,8 +4,9 @@ Two lines overlap if, in order, they share at least 0.8 of the words of the long
 are found are pairs of words, not neighbours but the rarest: lines that share 0.8 of their words share at least
 two among the rarest 0.2 of either and two more, for any fixed order of words, so no overlap is lost, even where
 every third word was changed and no longer run of neighbours is left. Rare words make pairs that few lines hold.
-The evaluation split gives the order of the words and a bitmap of bounded size of its pairs; the training split
-is scanned against the bitmap, what hits it is joined on the pairs, and the share of words is computed exactly.
+The evaluation split gives the order of the words and a bitmap of its pairs, as large as their number demands; the training split
+is scanned against the bitmap, the hashes of what hits it are joined on the pairs, and only then are texts fetched, by
+their hashes, and the share of words computed exactly.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from bhashaloom.plans.skew import checkpointed, hot_keys, salted_join
 
 #: Words of the evaluation split whose counts order the words; others count as rarer than any of them.
 VOCABULARY = 50_000
-#: Bits of the bitmap of the evaluation split's pairs (8 MB). A full bitmap passes more lines but loses none.
-BITMAP_BITS = 1 << 26
-#: Lines of up to so many words are found by pairs, longer ones by single rare words, so that keys grow with length only.
+#: Bits of the bitmap for each key of the evaluation split, and most bits of it (32 MB). It passes one foreign key in seventy, one in
+#: seven where it is as large as it may be and holds four times the keys; for more keys none is made, and all keys are joined.
+KEY_BITS, MOST_BITS = 16, 1 << 28
+#: Lines of up to so many words are found by pairs, longer ones by single rare words, so that keys grow with length only. Lines that may
+#: overlap with some on the other side of this length have both kinds, so that nothing is lost at it.
 PAIR_WORDS = 48
 _M = (1 << 64) - 1
 _OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}\s\x1c-\x1f]+")
@@ -86,9 +89,9 @@ class Keys:
         return sorted(map(_signed, keys))
 
 
-def _positions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _positions(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     bits = keys.view(np.uint64)
-    return bits % np.uint64(BITMAP_BITS), (bits >> np.uint64(32)) % np.uint64(BITMAP_BITS)
+    return bits % np.uint64(size), (bits >> np.uint64(32)) % np.uint64(size)
 
 
 def normalized(line: str) -> str:
@@ -102,13 +105,13 @@ def _hash(lang: str, norm: str) -> tuple[int, int]:
 
 
 def _with_keys(lines: DataFrame, counts, share: float, bitmap=None) -> DataFrame:
-    """Lines (id, lang, line) with words as (id, h1, h2, lang, norm, keys).
+    """Lines (id, lang, line) with words as (id, h1, h2, n, norm, keys); n is the number of words.
 
     With a bitmap, keys are left out that it lacks, and the text of lines without any other.
     """
     id_type = lines.schema["id"].dataType
     out = T.StructType([
-        T.StructField("id", id_type), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("lang", T.StringType()),
+        T.StructField("id", id_type), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n", T.IntegerType()),
         T.StructField("norm", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType(), False)),
     ])
 
@@ -124,7 +127,7 @@ def _with_keys(lines: DataFrame, counts, share: float, bitmap=None) -> DataFrame
             if bits is not None:
                 flat = np.fromiter((k for ks in keys for k in ks), np.int64)
                 hit = np.ones(len(flat), bool)
-                for at in _positions(flat):
+                for at in _positions(flat, 8 * len(bits)):
                     hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 hits, at, kept = hit.tolist(), 0, []
                 for ks in keys:
@@ -132,28 +135,39 @@ def _with_keys(lines: DataFrame, counts, share: float, bitmap=None) -> DataFrame
                     at += len(ks)
                 keys = kept
             texts = [t if ks else None for t, ks in zip(norms, keys)]
-            columns = [pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), langs, pa.array(texts, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
+            counted = pa.array([t.count(" ") + 1 for t in norms], pa.int32())
+            columns = [pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), counted, pa.array(texts, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(take, pa.int64())), *columns], out.names)
 
     return lines.mapInArrow(run, out)
 
 
-def _bitmap(keys: DataFrame) -> bytes:
-    """The bitmap of all keys, put together from words of 64 bits; its size does not depend on the data's."""
-    size = F.lit(BITMAP_BITS)
-    low = F.expr(f"CAST(pmod(key, {BITMAP_BITS}) AS BIGINT)")  # BITMAP_BITS is a power of two, so signs don't matter
-    high = F.pmod(F.shiftrightunsigned("key", 32), size)
+def _bitmap(keys: DataFrame) -> bytes | None:
+    """The bitmap of all keys, put together from words of 64 bits, of MOST_BITS at most; none where it would be too full to be of use."""
+    there = keys.agg(F.approx_count_distinct("key")).first()[0] or 0
+    if 4 * there > MOST_BITS:
+        return None
+    bits = 1 << 12
+    while bits < MOST_BITS and bits < KEY_BITS * there:
+        bits *= 2
+    low = F.expr(f"CAST(pmod(key, {bits}) AS BIGINT)")  # a power of two, so signs don't matter
+    high = F.pmod(F.shiftrightunsigned("key", 32), F.lit(bits))
     both = keys.select(F.explode(F.array(low, high)).alias("bit"))
     merged = both.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
-    found = merged.toPandas()  # at most BITMAP_BITS / 64 rows
-    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    found = merged.toPandas()  # at most MOST_BITS / 64 rows
+    out = np.zeros(bits // 64, np.int64)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return out.tobytes()
 
 
-def _distinct(lines: DataFrame) -> DataFrame:
-    """Each text with keys once; copies within a task are merged before the shuffle, the others by it."""
-    return lines.where(F.size("keys") > 0).groupBy("h1", "h2", "lang", "norm", "keys").agg(F.count(F.lit(1)).alias("n")).drop("n")
+def _keyed(lines: DataFrame, side: str) -> DataFrame:
+    """(key, h1, h2, n) of each text and key once, named by their side; copies within a task are merged before the shuffle."""
+    return lines.select(F.explode("keys").alias("key"), F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.col("n").alias(f"n{side}")).distinct()
+
+
+def _texts(lines: DataFrame, side: str) -> DataFrame:
+    """(h1, h2, text) of each text with keys once, named by their side."""
+    return lines.where("norm IS NOT NULL").select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.col("norm").alias(side)).distinct()
 
 
 def overlap_classes(frame: DataFrame, key: str, text: str, is_test: str, lang: str, share: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -178,17 +192,16 @@ def overlap_classes(frame: DataFrame, key: str, text: str, is_test: str, lang: s
     counts = spark.sparkContext.broadcast({_signed(xxhash.xxh64_intdigest(f"{r['lang']}\x1f{r['word']}")): r["n"] for r in top})
 
     tests = checkpointed(_with_keys(tests, counts, share))
-    bitmap = spark.sparkContext.broadcast(_bitmap(tests.select(F.explode("keys").alias("key"))))
-    trains = checkpointed(_with_keys(trains, counts, share, bitmap))
-
-    hits = _distinct(trains)
-    one = _distinct(tests).select("lang", F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("norm").alias("t"), F.col("keys").alias("tk"), F.explode("keys").alias("key"))
-    two = hits.select("lang", F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("norm").alias("r"), F.col("keys").alias("rk"), F.explode("keys").alias("key"))
-    held = hits.select("lang", F.explode("keys").alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(held, ["lang", "key"], "n", held.agg(F.sum("n")).first()[0] or 0)
-    met = salted_join(two, one, ["lang", "key"], hot, ["r1"]).where(F.array_min(F.array_intersect("tk", "rk")) == F.col("key"))
-    n, m = F.size(F.split("t", " ")), F.size(F.split("r", " "))
-    met = met.where(F.least(n, m) >= F.greatest(n, m) * F.lit(share) - F.lit(1e-9)).select("t1", "t2", "r1", "r2", "t", "r")
+    bits = _bitmap(tests.select(F.explode("keys").alias("key")))
+    trains = checkpointed(_with_keys(trains, counts, share, None if bits is None else spark.sparkContext.broadcast(bits)))
+
+    # Only hashes are joined; a key's hash holds its language.
+    two = checkpointed(_keyed(trains, "r"))
+    held = two.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    near = F.least("nt", "nr") >= F.greatest("nt", "nr") * F.lit(share) - F.lit(1e-9)
+    met = salted_join(two, _keyed(tests, "t"), ["key"], hot_keys(held, ["key"], "n", two.count()), ["r1"]).where(near)
+    met = checkpointed(met.select("t1", "t2", "r1", "r2").distinct())
+    met = met.join(_texts(tests, "t"), ["t1", "t2"]).join(_texts(trains, "r"), ["r1", "r2"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
