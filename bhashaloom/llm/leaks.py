@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bhashaloom.functions.unicode import ALNUM, SPACE
+from bhashaloom.plans.skew import checkpointed, hot_keys, salted_join
 
 #: Words of a passage, and of a shingle.
 PASSAGE, SHINGLE = 12, 5
-#: Items are searched for in blocks of about so many words; a block's table is broadcast, whatever the items' number.
-BLOCK_WORDS = 200_000
+#: Items of so many words in all, 2 MB or so, are broadcast and searched for as the documents are read; more of them are joined by MinHash.
+BROADCAST_WORDS = 200_000
 
 #: First digits of the decimal scripts in the Basic Multilingual Plane, as fixed values of Unicode.
 _ZEROS = (
@@ -87,21 +88,21 @@ def _chosen(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, least[at]
 
 
-def common_run(a: list[str], i: int, b: list[str], j: int) -> int:
-    """How many consecutive words around a[i] and b[j] are the same; 0 if these two differ."""
+def common_run(a: list[str], i: int, b: list[str], j: int) -> tuple[int, int]:
+    """How many consecutive words before a[i] and b[j], and how many from them on, are the same; none if these two differ."""
     if a[i] != b[j]:
-        return 0
+        return 0, 0
     back = 0
     while back < i and back < j and a[i - back - 1] == b[j - back - 1]:
         back += 1
     ahead = 1
     while i + ahead < len(a) and j + ahead < len(b) and a[i + ahead] == b[j + ahead]:
         ahead += 1
-    return back + ahead
+    return back, ahead
 
 
 class Index:
-    """A block of items by the MinHash of their windows."""
+    """Items by the MinHash of their windows."""
 
     def __init__(self, items: list[tuple[object, str]]):
         self.hasher = Hasher()
@@ -125,14 +126,18 @@ class Index:
                 continue
             place = np.minimum(np.searchsorted(self.values, value), len(self.values) - 1)
             best: dict[int, int] = {}
+            seen: dict[tuple[int, int], int] = {}  # how far a run with the same lag has been followed
             for k in np.flatnonzero(self.values[place] == value):
                 # The windows that share this MinHash follow one another from here on.
                 for item, j in self.by[int(value[k])]:
                     last = int(at[k + 1]) if k + 1 < len(at) else len(ws) - PASSAGE + 1
                     for i in range(int(at[k]), last):
-                        run = common_run(ws, i, self.words[item][1], j)
-                        if run >= PASSAGE:
-                            best[item] = max(best.get(item, 0), run)
+                        if i < seen.get((item, i - j), 0):
+                            continue
+                        back, ahead = common_run(ws, i, self.words[item][1], j)
+                        seen[item, i - j] = i + ahead
+                        if back + ahead >= PASSAGE:
+                            best[item] = max(best.get(item, 0), back + ahead)
             out += [(d, item, run, len(self.words[item][1])) for item, run in best.items()]
         return out
 
@@ -143,33 +148,84 @@ def leaked_passages(documents: DataFrame, key: str, text: str, items: DataFrame,
     run: words of the longest such passage; item_words: words of the item. Words are white-space pieces reduced to
     letters and digits, lower case; tags are left out, and digits are the same in every script. Null and shorter texts
     hold nothing; null ids stay null. Repeated items and documents come out for each of their rows' ids once.
-    Documents are scanned once for each block of items, of which a block's table alone is in memory; none is shuffled.
+    Documents are read once. Where the items are few enough to be broadcast, none is shuffled; else the MinHashes of documents and items are joined,
+    hot ones spread over many tasks, and only the pairs that meet fetch their words.
     """
-    spark = documents.sparkSession
     named = items.select(F.col(item_key).alias("item"), plain_words(F.col(item_text)).alias("words")).where("words IS NOT NULL").distinct()
     total = named.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0
-    blocks = max(1, -(-int(total) // BLOCK_WORDS))
     rows = documents.select(F.col(key).alias("doc"), plain_words(F.col(text)).alias("words"))
-    out = T.StructType([T.StructField("doc", documents.schema[key].dataType), T.StructField("item", items.schema[item_key].dataType), T.StructField("run", T.IntegerType()), T.StructField("item_words", T.IntegerType())])
-    arrow_item = pa.schema([("item", pa.int64() if isinstance(out["item"].dataType, (T.LongType, T.IntegerType)) else pa.string())]).field(0).type
-
-    def block(b: int) -> DataFrame:
-        held = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast([(r["item"], r["words"]) for r in held.collect()])  # about BLOCK_WORDS words
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
-                    found = index.search(part.column("words").to_pylist())
-                    docs = part.column("doc").take(pa.array([x[0] for x in found], pa.int64()))
-                    ids = pa.array([index.words[x[1]][0] for x in found], arrow_item)
-                    yield pa.RecordBatch.from_arrays([docs, ids, pa.array([x[2] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.int32())], out.names)
-
-        return rows.mapInArrow(run, out)
-
-    all_blocks = block(0)
-    for b in range(1, blocks):
-        all_blocks = all_blocks.unionByName(block(b))
-    return all_blocks.groupBy("doc", "item").agg(F.max("run").alias("run"), F.max("item_words").alias("item_words"))
+    found = _searched(rows, named) if total <= BROADCAST_WORDS else _joined(rows, named)
+    return found.groupBy("doc", "item").agg(F.max("run").alias("run"), F.max("item_words").alias("item_words"))
+
+
+def _searched(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc, item, run, item_words) by an index of all items in each task; BROADCAST_WORDS words at most."""
+    shared = rows.sparkSession.sparkContext.broadcast([(r["item"], r["words"]) for r in items.collect()])
+    out = T.StructType([rows.schema["doc"], items.schema["item"], T.StructField("run", T.IntegerType()), T.StructField("item_words", T.IntegerType())])
+    arrow_item = pa.int64() if isinstance(out["item"].dataType, (T.LongType, T.IntegerType)) else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = index.search(part.column("words").to_pylist())
+                docs = part.column("doc").take(pa.array([x[0] for x in found], pa.int64()))
+                ids = pa.array([index.words[x[1]][0] for x in found], arrow_item)
+                yield pa.RecordBatch.from_arrays([docs, ids, pa.array([x[2] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.int32())], out.names)
+
+    return rows.mapInArrow(run, out)
+
+
+def _values(rows: DataFrame, name: str) -> DataFrame:
+    """(text, value) of rows (name, words): a text's hash with the MinHashes of all its windows, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                texts = [t for t in batch.column("words").slice(at, 1000).to_pylist() if t]
+                minima = [np.unique(window_minima(hasher(t.split(" ")))) for t in texts]
+                hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, len(texts))
+                flat = np.concatenate([*minima, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(hashes, [len(m) for m in minima]).view(np.int64)), pa.array(flat)], [name, "value"])
+
+    return rows.select("words").mapInArrow(run, f"{name} long, value long").distinct()
+
+
+def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc, item, run, item_words) by a join of the MinHashes; texts are known by their hashes until they are verified."""
+    values = checkpointed(_values(rows, "d"))
+    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counts, ["value"], "n", values.count())
+    met = checkpointed(salted_join(values, _values(items, "i"), ["value"], hot, ["d"]).select("d", "i").distinct())
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("words").to_pylist()
+            hashes = np.fromiter((xxhash.xxh64_intdigest(t or "") for t in texts), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), *batch.columns], ["h", *batch.schema.names])
+
+    named = lambda frame, name: frame.mapInArrow(hashed, T.StructType([T.StructField("h", T.LongType()), *frame.schema])).withColumnRenamed("h", name)
+    docs, wanted = named(rows, "d"), named(items, "i")
+    texts = lambda frame, name: frame.join(met.select(name).distinct(), name, "left_semi").select(name, F.col("words").alias(f"w{name}")).distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Index] = {}
+        for batch in batches:
+            runs = []
+            for doc, item in zip(batch.column("wd").to_pylist(), batch.column("wi").to_pylist()):
+                if len(known) > 1000:
+                    known.clear()
+                if item not in known:
+                    known[item] = Index([(0, item)])
+                found = known[item].search([doc])
+                runs.append((found[0][2], found[0][3]) if found else (0, 0))
+            columns = [pa.array([x[k] for x in runs], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("i"), *columns], ["d", "i", "run", "item_words"])
+
+    pairs = met.join(texts(docs, "d"), "d").join(texts(wanted, "i"), "i").select("d", "i", "wd", "wi")
+    runs = checkpointed(pairs.mapInArrow(verify, "d long, i long, run int, item_words int").where("run > 0"))
+    of_doc, of_item = docs.select("doc", "d").join(runs.select("d").distinct(), "d", "left_semi").distinct(), wanted.select("item", "i").distinct()
+    copies = of_doc.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    return salted_join(of_doc, runs.join(of_item, "i"), ["d"], hot_keys(copies, ["d"], "n", of_doc.count()), ["doc"]).select("doc", "item", "run", "item_words")

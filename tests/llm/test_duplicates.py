@@ -138,7 +138,7 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
         grams = {tuple(t.split()[k : k + 12]) for k in range(len(t.split()) - 11)}
         want |= {(d, i) for i, u in items for k in range(len(u.split()) - 11) if tuple(u.split()[k : k + 12]) in grams}
     assert len(want) > 10 and set(leaked(spark, docs, items)) == want
-    monkeypatch.setattr(E, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(E, "BROADCAST_WORDS", 100)
     assert set(leaked(spark, docs, items)) == want
 
 
