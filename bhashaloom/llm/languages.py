@@ -64,7 +64,7 @@ def fit(frame: DataFrame, text: str, label: str, languages: list[Language], key:
     for lang, n in counts.items():
         chance = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(chance)
     uniform = F.pmod(F.xxhash64(F.lit(42), "key", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = named.where(uniform < chance).limit(2 * per_language * max(1, len(counts))).collect()
+    sample = named.where(uniform < chance).orderBy(uniform, "text").limit(2 * per_language * max(1, len(counts))).collect()
     texts, labels = [], []
     for r in sorted(sample, key=lambda r: (str(r["key"]), r["text"])):
         words, spec = words_of(r["text"]), by_name[r["lang"]]
