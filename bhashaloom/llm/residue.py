@@ -23,11 +23,6 @@ _I = regex.IGNORECASE
 #: Names of any length: with spaces, where a doubled or braced notation closes them; in one piece.
 _NAME = r"[\p{L}_$][\p{L}\p{M}\p{N}_.$ -]*+"
 _TIGHT = r"[\p{L}_][\p{L}\p{M}\p{N}_.]*+"
-#: Names in signs that prose has, too: up to 41 characters, or of any length in pieces that a dot, underscore or hyphen joins.
-_PIECES = r"[\p{L}_$][\p{L}\p{M}\p{N}$]*+(?:[_.-]++[\p{L}\p{M}\p{N}$]++)+[_.-]*+"
-_SHORT_NAME = rf"(?:[\p{{L}}_$][\p{{L}}\p{{M}}\p{{N}}_.$ -]{{0,40}}|{_PIECES})"
-_SHORT_TIGHT = rf"(?:[\p{{L}}_][\p{{L}}\p{{M}}\p{{N}}_.]{{0,40}}|{_PIECES.replace('$', '').replace('-', '')})"
-
 #: Fields of common template languages that were never filled in. Fixed patterns.
 FIELDS = regex.compile(
     "|".join([
@@ -37,18 +32,18 @@ FIELDS = regex.compile(
         r"\{%-?\s*[\p{L}_][^%{}\n]*%\}",  # {% include 'name' %}
         r"<%[=-]?\s*[^%<>\n]+%>",  # <%= name %>
         r"<\?(?:=|php)\s*[^<>\n]*?\?>",  # <?= $name ?>
-        rf"<<\s*{_SHORT_NAME}\s*>>",
-        rf"«\s*{_SHORT_TIGHT}\s*»",
-        rf"\[\[\s*{_SHORT_NAME}\s*\]\]",
+        rf"<<\s*{_NAME}\s*>>",
+        rf"«\s*{_TIGHT}\s*»",
+        rf"\[\[\s*{_NAME}\s*\]\]",
         r"(?<!\w)__[\p{L}_][\p{L}\p{M}\p{N}_.]{0,40}__(?!\w)",  # longer ones: _LONG_UNDERSCORED
         rf"@@{_TIGHT}@@",
         rf"##{_TIGHT}##",
         rf"(?<![\w%])%{_TIGHT}%(?![\w%])",
         rf"%\({_TIGHT}\)[sdrfi]",
         r"(?<![\w%])%[sdif](?![\w%])",
-        r"<\s*(?:insert|enter|add|your)\b[^<>\n]{0,60}>",
-        r"\[\s*(?:insert|enter|add|your)\b[^\[\]\n]{0,60}\]",
-        rf"\[(?!object\b){_SHORT_TIGHT}\](?!\()",  # [name]
+        r"<\s*(?:insert|enter|add|your)\b[^<>\n]*>",
+        r"\[\s*(?:insert|enter|add|your)\b[^\[\]\n]*\]",
+        rf"\[(?!object\b){_TIGHT}\](?!\()",  # [name]
     ]),
     _I,
 )
@@ -65,7 +60,7 @@ _SPOKEN = regex.compile(r"(?:\b(?:value|variable|term|result|entry|word|field|it
 
 #: Passages in which a field is quoted, explained or shown: code marks, quotation marks, f-strings, forms on paper. Fixed patterns.
 QUOTED = regex.compile(
-    r"`[^`\n]*`|“[^”\n]*”|‘[^’\n]{0,80}’|„[^“\n]*“|f?\"[^\"\n]{0,80}\"|f?(?<!\w)'[^'\n]{0,80}'(?!\w)|(?<=<%)(?!)|\b(?:fill|write|enter|put)(?: in)? [\[<{][^\]>}\n]*[\]>}] (?:in|on|into|at) "
+    r"`[^`\n]*`|“[^”\n]*”|‘[^’\n]*’|„[^“\n]*“|f?\"[^\"\n]*\"|f?(?<!\w)'[^'\n]*'(?!\w)|\b(?:fill|write|enter|put)(?: in)? [\[<{][^\]>}\n]*[\]>}] (?:in|on|into|at) "
     , _I
 )
 
@@ -119,7 +114,7 @@ MESSAGES = regex.compile(
 )
 
 #: A menu: short entries between bars, arrows or bullets.
-_MENU = regex.compile(r"^[^.!?।\n]{1,40}(?:\s[|»›•·/]\s[^|.!?।\n]{1,40}){1,}$")
+_MENU = regex.compile(r"^[^.!?।\n]+(?:\s[|»›•·/]\s[^|.!?।\n]+){1,}$")
 _HOME = r"(?:Home|Main page|Start|मुख्य पृष्ठ|मुख्यपृष्ठ|મુખ્ય પાનું|പ്രധാന താൾ|ಮುಖಪುಟ|ମୁଖ୍ୟ ପୃଷ୍ଠା|[\p{L}\p{M}]+)"
 _MENU_INSIDE = regex.compile(rf"{_HOME}(?: \| [\p{{L}}\p{{M}}]+(?: [\p{{L}}\p{{M}}]+)?)+ \| [\p{{L}}\p{{M}}]+", _I)
 _SENTENCE = regex.compile(r"\n+|(?<=[.!?।…])\s+")

@@ -32,3 +32,15 @@ def test_long_runs_take_no_time():
         R.residue_kind(part * (200_000 // len(part)))
     R.residue_kind("{{ a" + " " * 200_000)
     assert time.process_time() - began < 20
+
+
+def test_nothing_is_cut_short():
+    from bhashaloom.llm.residue import residue_kind
+
+    name = "a" * 90
+    for text in (f"<< {name} >>", f"«{name}»", f"[[{name}]]", f"[{name}]", f"<insert {name} of {name}>", f"[enter {name} and {name}]", f"__{name}__"):
+        assert residue_kind(f"Dear {text}, welcome to the village.") == "field", text
+    quoted = "word " * 40 + "{{ name }} " + "word " * 10
+    assert residue_kind(f'The manual says "{quoted}" and so on for everybody who reads it.') is None
+    menu = " | ".join(["A rather long entry of a menu that names a part of the site", "Another entry that is nearly as long as the first one"])
+    assert residue_kind(f"{menu}\nError 404: page not found.") == "message"
