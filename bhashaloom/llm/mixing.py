@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from bhashaloom.plans.skew import hot_keys, salted_join
 
-#: Rows of a bucket, about; a bucket is sorted by one task.
-BUCKET_ROWS = 100_000
+#: Rows of a bucket, about, which one task sorts, and most buckets of a source, whose sums one task adds up.
+BUCKET_ROWS, MOST_BUCKETS = 2_000, 1_000_000
 #: A table of targets of at most so many rows is broadcast; a larger one is joined with salted keys.
 BROADCAST_TARGETS = 100_000
 
@@ -84,7 +84,7 @@ def mix(frame: DataFrame, targets: DataFrame, columns: Columns = Columns(), tota
     else:
         every = rates.agg(F.sum("__rows")).first()[0] or 0  # one row
         rated = salted_join(rows, rates, ["__source"], hot_keys(rates, ["__source"], "__rows", every), [columns.key])
-    buckets = F.ceil(F.col("__rows") / F.lit(BUCKET_ROWS)).cast("long")
+    buckets = F.least(F.ceil(F.col("__rows") / F.lit(BUCKET_ROWS)), F.lit(MOST_BUCKETS)).cast("long")
     place = F.xxhash64(F.lit(seed), *(c for c, kind in frame.dtypes if not kind.startswith(("map", "variant"))))  # null and repeated keys are spread by the other columns
     rated = rated.withColumns({"__place": place, "__bucket": F.pmod(place, buckets)})
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
