@@ -23,6 +23,10 @@ _I = regex.IGNORECASE
 #: Names of any length: with spaces, where a doubled or braced notation closes them; in one piece.
 _NAME = r"[\p{L}_$][\p{L}\p{M}\p{N}_.$ -]*+"
 _TIGHT = r"[\p{L}_][\p{L}\p{M}\p{N}_.]*+"
+#: Names in signs that prose has, too: six words at most, each of any length; but 42 characters in a row of a script that parts words by no spaces are prose.
+_PROSE = r"(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{42})"
+_WORDS = rf"{_PROSE}[\p{{L}}_$][\p{{L}}\p{{M}}\p{{N}}_.$-]*+(?: ++[\p{{L}}\p{{M}}\p{{N}}_.$-]++){{0,5}}"
+
 #: Fields of common template languages that were never filled in. Fixed patterns.
 FIELDS = regex.compile(
     "|".join([
@@ -32,9 +36,9 @@ FIELDS = regex.compile(
         r"\{%-?\s*[\p{L}_][^%{}\n]*%\}",  # {% include 'name' %}
         r"<%[=-]?\s*[^%<>\n]+%>",  # <%= name %>
         r"<\?(?:=|php)\s*[^<>\n]*?\?>",  # <?= $name ?>
-        rf"<<\s*{_NAME}\s*>>",
-        rf"«\s*{_TIGHT}\s*»",
-        rf"\[\[\s*{_NAME}\s*\]\]",
+        rf"<<\s*{_WORDS}\s*>>",
+        rf"«\s*{_PROSE}{_TIGHT}\s*»",
+        rf"\[\[\s*{_WORDS}\s*\]\]",
         r"(?<!\w)__[\p{L}_][\p{L}\p{M}\p{N}_.]{0,40}__(?!\w)",  # longer ones: _LONG_UNDERSCORED
         rf"@@{_TIGHT}@@",
         rf"##{_TIGHT}##",
@@ -43,7 +47,7 @@ FIELDS = regex.compile(
         r"(?<![\w%])%[sdif](?![\w%])",
         r"<\s*(?:insert|enter|add|your)\b[^<>\n]*>",
         r"\[\s*(?:insert|enter|add|your)\b[^\[\]\n]*\]",
-        rf"\[(?!object\b){_TIGHT}\](?!\()",  # [name]
+        rf"\[(?!object\b){_PROSE}{_TIGHT}\](?!\()",  # [name]
     ]),
     _I,
 )
