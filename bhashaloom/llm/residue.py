@@ -24,7 +24,7 @@ _I = regex.IGNORECASE
 _NAME = r"[\p{L}_$][\p{L}\p{M}\p{N}_.$ -]*+"
 _TIGHT = r"[\p{L}_][\p{L}\p{M}\p{N}_.]*+"
 #: Names in signs that prose has, too: six words at most, each of any length; but 42 characters in a row of a script that parts words by no spaces are prose.
-_PROSE = r"(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{42})"
+_PROSE = r"(?![\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\U00020000-\U0003FFFF]{42})"  # Thai, Lao, Burmese, Khmer, kana, Han
 _WORDS = rf"{_PROSE}[\p{{L}}_$][\p{{L}}\p{{M}}\p{{N}}_.$-]*+(?: ++[\p{{L}}\p{{M}}\p{{N}}_.$-]++){{0,5}}"
 
 #: Fields of common template languages that were never filled in. Fixed patterns.
